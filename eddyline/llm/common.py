@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step in Python handles at a time, whatever Spark's batches hold.
 STEP_BYTES = 4 << 20
 #: Words that a worker remembers at most; then it forgets all and starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,13 +65,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about STEP_BYTES of text; one row at least."""
+def cut(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes of text; one row at least."""
     n = batch.num_rows
     if not n:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    step = (np.cumsum(sizes) // STEP_BYTES).astype(np.int64)
+    step = (np.cumsum(sizes) // limit).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], n], strict=True):
         yield batch.slice(int(a), int(b - a))

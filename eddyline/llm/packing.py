@@ -13,6 +13,7 @@ each for itself; an empty table gives an empty result; other columns don't matte
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,14 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, Words, cut, written
 
 SIZE, GROUP, ROUNDS = 2048, 1024, 4
+#: Bytes of text for one step; larger ones meet fewer words twice.
+ENCODE_BYTES = 16 << 20
+#: What the vocabulary's split pattern finds in lower-case Latin-1, and the ends of words.
+PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+|\n")
+#: Words that the tokenizer takes whole: other characters, and what may be a special token.
+ODD = "[^!-~¡-¬®-ÿ]|<[|]"
+#: Stands between words; no id is as high.
+BREAK = b"\xff\xff\xff\xff"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 _PACKED = _PIECE + ", group long, sequence long, offset long, free int, gap long"
 
@@ -37,7 +46,11 @@ def _encoder(path: str) -> tuple:
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        is_end = np.zeros(tokenizer.get_vocab_size(), bool)
+        for word, k in tokenizer.get_vocab(with_added_tokens=False).items():
+            is_end[k] = word.endswith("</w>")
+        _encoders[path] = (tokenizer, {"\n": BREAK}, is_end)
     return _encoders[path]
 
 
@@ -46,22 +59,40 @@ def encode(texts: pa.Array, path: str) -> list[bytes]:
 
     This vocabulary's pre-tokenizer never joins across white space and its
     normaliser works character by character, so a text's ids are its words' ids
-    in a row; each different word is encoded once.
+    in a row, and a word's those of its pre-tokens; each different one is encoded
+    once. Words are split here where they are printable Latin-1, which is its own
+    normal form but for case; the tokenizer takes others whole.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, known, is_end = _encoder(path)
     words = Words(texts)
-    unique = words.uniques.to_pylist()
-    fresh = [w for w in unique if w not in known]
-    if len(known) + len(fresh) > CACHE_WORDS:
+    unique = words.uniques
+    odd = np.asarray(pc.match_substring_regex(unique, ODD)) if len(unique) else np.zeros(0, bool)
+    others = unique.filter(pa.array(odd)).to_pylist()
+    simple = unique.filter(pa.array(~odd)) if others else unique
+    line = pc.binary_join(pa.ListArray.from_arrays([0, len(simple)], simple), "\n").to_pylist()[0].lower() if len(simple) else ""
+    flat = PRETOKEN.findall(line)
+    fresh = [p for p in set(flat) if p not in known]
+    if len(known) + len(fresh) + len(others) > CACHE_WORDS:
         known.clear()
-        fresh = unique
-    for k in range(0, len(fresh), 10_000):
-        some = fresh[k : k + 10_000]
-        for word, got in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(got.ids, "<u4").tobytes()
-    blobs = [known[w] for w in unique]
-    codes, ends = words.codes.tolist(), words.offsets.tolist()
-    return [b"".join([blobs[c] for c in codes[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        known["\n"] = BREAK
+        fresh = [p for p in set(flat) if p != "\n"]
+    # Many pre-tokens in one call: the last id of each, and no other, is one of a word's end.
+    for k in range(0, len(fresh), 4096):
+        some = fresh[k : k + 4096]
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends, raw = (4 * np.flatnonzero(is_end[ids]) + 4).tolist(), ids.tobytes()
+        known.update(zip(some, [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+    blobs = np.empty(len(unique), object)
+    if len(simple):
+        blobs[~odd] = b"".join([known[p] for p in flat]).split(BREAK)
+    if others:
+        fresh = [w for w in others if f"\n{w}" not in known]
+        for w, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else (), strict=True):
+            known[f"\n{w}"] = np.asarray(got.ids, "<u4").tobytes()
+        blobs[odd] = [known[f"\n{w}"] for w in others]
+    ends = words.offsets.tolist()
+    inside = blobs[words.codes].tolist()
+    return [b"".join(inside[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
@@ -70,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", ENCODE_BYTES):
                 out: list[list] = [[] for _ in range(6)]
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"), tokenizer), strict=True):
                     ids += b"\0\0\0\0"
