@@ -6,8 +6,6 @@ executor can read, so a lost executor costs a re-read and never a result.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,50 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eddyline.sources.scratch import release, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Bytes of text that one step in Python handles at a time, whatever Spark's batches hold.
 STEP_BYTES = 4 << 20
 #: Words that a worker remembers at most; then it forgets all and starts again.
 CACHE_WORDS = 800_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception as error:  # a session without access to static settings
-        if "spark.checkpoint.dir" not in str(error):
-            raise
-        found = None
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='eddyline-')}"
-        shared_dir.own = found
-    return found.rstrip("/")
-
-
-_written: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eddyline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete the scratch tables written so far; call it once the results are stored. Returns how many."""
-    jvm, n = spark.sparkContext._jvm, 0
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, transport, url_rules
+from . import exact_dedup, jaccard, mixing, packing, substring_dedup, transport, url_rules
 from .common import read
 
 #: (host, path, verdict)
@@ -31,6 +31,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_url_rules(spark, sf_dir):
     return url_rules.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,11 +43,15 @@ def op5_pfair_mix(spark, sf_dir):
     return mixing.schedule(read(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op4_url_rules, op5_pfair_mix, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op8_substring_dedup, op10_pack)}
 
 SQL = {
     "op2_exact_dedup": """
