@@ -1,13 +1,19 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by 80 % or more.
 
-Documents with the same set are one class. For a shared shingle order - rare ones
-first, by a count sketch of fixed size over all texts, then by hash - two linked sets
-share a shingle among the first fifth of the larger and the first ninth of the smaller.
-Those entries fall into tiles by shingle; within a tile sets lie in bands by size, and
-only sets of fitting sizes meet. A pair is first held against its hashed bitmaps: the
-bits that one set has and the other lacks bound the overlap from above. What is left
-is decided by an exact intersection of the sorted arrays. Nothing is capped: a tile
-with many sets is cut into blocks whose bitmaps are compared block against block.
+Documents with the same set are one class. Links are sought in two rounds.
+
+The first is a quick look: classes with the same least shingle, by LOOKS different
+orders, are sorted together and neighbours are compared. It finds most links of large
+groups with a number of comparisons in proportion to the input, never a group's square.
+
+The second is complete: for a shared shingle order - rare ones first, by a count
+sketch of fixed size over all texts, then by hash - two linked sets share a shingle
+among the first fifth of the larger and the first ninth of the smaller. These entries
+meet by shingle. Where all sets of a shingle are joined already nothing is left to
+do; else its sets are laid into tiles by bands of size (and by blocks, where they are
+many), and in each tile hashed bitmaps are compared: the bits that one set has and
+the other lacks bound the overlap from above. Pairs across components that may still
+link are decided by an exact intersection of the sorted arrays. Nothing is capped.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Fewer words than a shingle
 make one shingle of the whole; no words (or null) make the empty set, which links with
@@ -17,7 +23,6 @@ nothing. Repeated rows are copies of a class. Shingles and sets are told apart b
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +33,17 @@ from pyspark.sql import functions as F
 
 from eddyline.operators.graph import connected_components
 
-from .common import Words, cut, grams, mix, powers, written
+from .common import Words, cut, grams, mix, partitions, powers, written
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Counters of the sketch, and the row that carries so many of them.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-#: Prefix entries in one group of tiles, and sets in one block of a tile.
-TILE_ROWS, BLOCK = 400_000, 256
+#: Orders of the first round.
+LOOKS = 4
+#: Prefix entries in one lot of shingles, sets with their bitmaps in one lot of tiles, and sets in one block of a tile.
+TILE_ROWS, LOT, BLOCK = 400_000, 8_000, 1024
 #: Ids of texts to be read again that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -121,13 +128,22 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-_SLIM = "doc_id long, text_key long, n long, class long, bits binary, prefix binary"
+_SLIM = "doc_id long, text_key long, n long, class long, bits binary, prefix binary, least array<long>"
+
+
+def _least(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The least shingle of each set in each of LOOKS orders; none of an empty set."""
+    full = np.flatnonzero(np.diff(starts))
+    out = np.stack([np.minimum.reduceat(mix(values ^ seed), starts[full]) for seed in powers(LOOKS, 23)], 1) if len(full) else np.zeros((0, LOOKS), np.uint64)
+    offsets = np.r_[0, np.cumsum(np.diff(starts) > 0)] * LOOKS
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out.ravel().view(np.int64)))
 
 
 def _slim(texts: DataFrame, n: int, percent: int) -> DataFrame:
     counts = _sketch(texts, n)
-    mean = max(1.0, counts.mean())
-    level = texts.sparkSession.sparkContext.broadcast(np.log2(1 + counts / (4 * mean)).astype(np.uint8))
+    mean = counts.mean()
+    # What stands out from the counters' own spread is frequent.
+    level = texts.sparkSession.sparkContext.broadcast(np.ceil(np.log2(1 + np.maximum(0, counts - mean - 4 * np.sqrt(mean) - 1))).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = level.value
@@ -135,6 +151,7 @@ def _slim(texts: DataFrame, n: int, percent: int) -> DataFrame:
             for part in cut(batch, "text"):
                 values, starts = shingles(Words(part.column("text"), lower=True), n)
                 sizes, bits, classes, prefixes = np.diff(starts), [], [], []
+                least = _least(values, starts)
                 often = levels[(values >> np.uint64(44)).astype(np.int64)]
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     own = values[a:b]
@@ -144,8 +161,8 @@ def _slim(texts: DataFrame, n: int, percent: int) -> DataFrame:
                     bits.append(bitmap(own) if b > a else b"")
                     prefixes.append(ordered[:k].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(sizes.astype(np.int64)), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())],
-                    ["doc_id", "text_key", "n", "class", "bits", "prefix"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(sizes.astype(np.int64)), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary()), least],
+                    ["doc_id", "text_key", "n", "class", "bits", "prefix", "least"],
                 )
 
     return texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, _SLIM)
@@ -179,69 +196,86 @@ def _tiles(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("n", "class", "prefix").mapInArrow(run, "tile long, hashes binary, classes binary, sizes binary")
 
 
-def _pairs(percent: int):
-    """From a group of tiles: pairs of sets (a, b) that may link, or for large tiles the members of pairs of blocks (tile, side, a)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        h, ids, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("hashes", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
-        n = np.abs(size).astype(np.int64)
-        order = np.lexsort((ids, n, h))
-        h, ids, n, small = h[order], ids[order], n[order], size[order] > 0
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-        runs = np.diff(at)
-        left, right, tiles, sides, members = [], [], [], [], []
-        # Runs of equal length are worked on together; a set's partners are those after it, of fitting size.
-        for m in np.unique(runs[(runs > 1) & (runs <= BLOCK)]):
-            starts = at[:-1][runs == m]
-            step = max(1, 2_000_000 // int(m * m))
-            i, j = np.triu_indices(m, 1)
-            for k in range(0, len(starts), step):
-                x, y = (starts[k : k + step, None] + i).ravel(), (starts[k : k + step, None] + j).ravel()
-                fit = small[x] & (100 * n[x] >= percent * n[y]) | (n[x] == n[y])
-                left.append(ids[x[fit]])
-                right.append(ids[y[fit]])
-        for k in np.flatnonzero(runs > BLOCK):
-            a, b = at[k], at[k + 1]
-            blocks = [(x, min(x + BLOCK, b)) for x in range(a, b, BLOCK)]
-            for i, (a0, a1) in enumerate(blocks):
-                for b0, b1 in blocks[i:]:
-                    if 100 * n[a1 - 1] < percent * n[b0]:
-                        break
-                    name = xxhash.xxh3_64_intdigest(np.array([h[a], np.uint64(a0 - a), np.uint64(b0 - a)], np.uint64).tobytes()) - (1 << 63)
-                    own = ids[a0:a1] if a0 == b0 else np.r_[ids[a0:a1], ids[b0:b1]]
-                    tiles.append(np.full(len(own), name))
-                    sides.append(np.r_[np.zeros(a1 - a0, np.int64), np.ones(len(own) - (a1 - a0), np.int64)])
-                    members.append(own)
-        pairs = np.zeros((0, 2), np.int64)
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        none = np.zeros(0, np.int64)
-        t, s, a = (np.concatenate(v) if v else none for v in (tiles, sides, members))
-        nulls = pa.nulls
-        return pa.table(
-            {
-                "a": pa.array(np.r_[pairs[:, 0], a]),
-                "b": pa.concat_arrays([pa.array(pairs[:, 1]), nulls(len(a), pa.int64())]),
-                "tile": pa.concat_arrays([nulls(len(pairs), pa.int64()), pa.array(t.astype(np.int64))]),
-                "side": pa.concat_arrays([nulls(len(pairs), pa.int64()), pa.array(s.astype(np.int64))]),
-            }
-        )
-
-    return run
-
-
-def _block_pairs(percent: int):
-    """Pairs from a pair of blocks whose bitmaps allow a link."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (look, least, class): each class with the one before it."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        look, least, own = (np.asarray(batch.column(c)) for c in ("look", "least", "class"))
+        if last is not None:
+            look, least, own = np.r_[last[0], look], np.r_[last[1], least], np.r_[last[2], own]
+        last = look[-1:], least[-1:], own[-1:]
+        same = (look[1:] == look[:-1]) & (least[1:] == least[:-1])
+        x, y = own[:-1][same], own[1:][same]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """From a lot of shingles: the entries of those that two sets or more show, where the smaller of some pair does."""
+    h, ids, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("hashes", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
+    order = np.argsort(h, kind="stable")
+    h, ids, size = h[order], ids[order], size[order]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    counts = np.diff(np.r_[at, len(h)])
+    keep = np.repeat((counts > 1) & (np.add.reduceat(size > 0, at) > 0), counts)
+    return pa.table({"h": pa.array(h[keep].view(np.int64)), "class": pa.array(ids[keep]), "size": pa.array(size[keep])})
+
+
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to one width in bytes."""
+    out = np.zeros((len(bits), width // 8), np.uint64)
+    for i, x in enumerate(bits):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > out.shape[1]:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        out[i] = row
+    return out
+
+
+def _compare(ids, roots, size, bits, left, right, percent, out) -> None:
+    """Add the pairs of left and right that are in different components and that sizes and bitmaps allow. Both are index arrays; the same one for a tile with itself."""
+    width = min(len(bits[i]) for i in (*left, *right))
+    x, y = _folded([bits[i] for i in left], width), _folded([bits[i] for i in right], width)
+    n, small = np.abs(size), size > 0
+    ny = n[right]
+    step = max(1, 2_000_000 // (len(right) * x.shape[1]))
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        nx = n[rows][:, None]
+        fit = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (roots[rows][:, None] != roots[right])
+        fit &= np.where(nx < ny, small[rows][:, None], np.where(nx > ny, small[right], small[rows][:, None] | small[right]))
+        if not fit.any():
+            continue
+        a, b = x[k : k + step, None, :], y[None, :, :]
+        most = np.minimum(nx - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), ny - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
+        i, j = np.nonzero(fit & (100 * most >= percent * (nx + ny - most)))
+        out.update(zip(np.minimum(ids[rows[i]], ids[right[j]]).tolist(), np.maximum(ids[rows[i]], ids[right[j]]).tolist(), strict=True))
+
+
+def _tile_pairs(percent: int):
+    """From a lot of tiles: pairs that may link. A tile is a shingle and two blocks; in it, neighbouring bands of size meet."""
+    ratio = np.log(100 / percent)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, side, bits = (table.column(c).to_pylist() for c in ("a", "n", "side", "bits"))
-        first, second = [i for i, s in enumerate(side) if s == 0], [i for i, s in enumerate(side) if s == 1]
-        out = set()
-        for k, i in enumerate(first):
-            for j in second or first[k + 1 :]:
-                if 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]) and ids[i] != ids[j] and enough(bound(bits[i], bits[j], n[i], n[j]), n[i], n[j], percent):
-                    out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        h, low, high, block, ids, roots, size = (np.asarray(table.column(c)) for c in ("h", "low", "high", "block", "class", "root", "size"))
+        bits = table.column("bits").to_pylist()
+        band = np.floor(np.log(np.abs(size)) / ratio).astype(np.int64)
+        order = np.lexsort((band, block, high, low, h))
+        tile = np.stack([h, low, high], 1)[order]
+        edges = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1), True])
+        out: set[tuple[int, int]] = set()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[a:b]
+            one, two = rows[block[rows] == low[rows[0]]], rows[block[rows] == high[rows[0]]]
+            alone = low[rows[0]] == high[rows[0]]
+            of = lambda part: {k: part[band[part] == k] for k in np.unique(band[part]).tolist()}
+            first, second = of(one), of(two)
+            for k, left in first.items():
+                for m in (k, k + 1) if alone else (k - 1, k, k + 1):
+                    if m in second:
+                        _compare(ids, roots, size, bits, left, second[m], percent, out)
+        out = {p for p in out if p[0] != p[1]}
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
@@ -288,39 +322,56 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return wanted.join(texts.select("text_key", "text").mapInArrow(run, "text_key long, set binary").dropDuplicates(["text_key"]), "text_key").select("class", "set")
 
 
-def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, pairs of classes that link). Documents: doc_id, n, class."""
-    texts = _texts(docs)
-    slim = written(_slim(texts, n, percent), "shingles")
-    full = slim.where("n > 0")
-    classes = written(full.groupBy("class").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("text_key").alias("text_key")), "classes")
-    found = written(_tiles(classes, percent).groupBy("tile").applyInArrow(_pairs(percent), "a long, b long, tile long, side long"), "candidates")
-    slight = classes.select("class", "n", "bits")
-    blocks = found.where(F.col("tile").isNotNull()).select("a", F.col("tile"), "side").join(slight.withColumnRenamed("class", "a"), "a")
-    blocks = blocks.groupBy("tile").applyInArrow(_block_pairs(percent), "a long, b long")
-    pairs = found.where(F.col("tile").isNull()).select("a", "b").distinct()
-    of = lambda side: slight.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_allowed(percent), "a long, b long")
-    pairs = written(pairs.unionAll(blocks).distinct(), "pairs")
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of some pairs whose sets do overlap enough."""
     ids = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
     sets = written(_sets(texts, written(classes.select("class", "text_key").join(ids, "class", "left_semi"), "wanted"), n), "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return slim.select("doc_id", "n", "class"), written(both.mapInArrow(_linked(percent), "a long, b long"), "links")
+    return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "links")
+
+
+def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(documents with their class, pairs of classes that link, enough of them to join each component). Documents: doc_id, n, class."""
+    spark, texts = docs.sparkSession, _texts(docs)
+    slim = written(_slim(texts, n, percent), "shingles")
+    first = [F.first(c).alias(c) for c in ("n", "bits", "prefix", "least")]  # equal in all copies
+    classes = written(slim.where("n > 0").groupBy("class").agg(*first, F.min("text_key").alias("text_key")), "classes")
+    slight = classes.select("class", "n", "bits")
+    of = lambda side: slight.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+    # The first round. Ranges hold parts of a group where it is large.
+    looks = classes.select(F.posexplode("least").alias("look", "least"), "class")
+    looks = looks.repartitionByRange(partitions(spark), "look", "least", "class").sortWithinPartitions("look", "least", "class")
+    pairs = looks.mapInArrow(_neighbours, "a long, b long").distinct()
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_allowed(percent), "a long, b long")
+    quick = _verified(texts, classes, written(pairs, "pairs"), n, percent)
+    roots = written(connected_components(quick).select(F.col("node").alias("class"), "root"), "roots")
+
+    # The second round.
+    shared = written(_tiles(classes, percent).groupBy("tile").applyInArrow(_shared, "h long, class long, size int"), "shared")
+    shared = written(shared.join(roots, "class", "left").select("h", "class", "size", F.coalesce("root", "class").alias("root")), "rooted")
+    mixed = shared.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+    mixed = written(mixed.select("h", F.ceil(F.col("m") / block).alias("blocks")), "mixed")
+    rows = shared.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(slight.select("class", "bits"), "class")
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "root", "size", "bits")
+    lots = max(1, shared.join(mixed, "h", "left_semi").count() // LOT)
+    tiles = rows.withColumn("lot", F.pmod(F.xxhash64("h", "low", "high"), F.lit(lots))).groupBy("lot")
+    rest = written(tiles.applyInArrow(_tile_pairs(percent), "a long, b long").distinct(), "pairs")
+    return slim.select("doc_id", "n", "class"), quick.unionAll(_verified(texts, classes, rest, n, percent))
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id, n_links (classes that its own links with)."""
+    """One row per document: doc_id, n_shingles, component_id, class_id (equal for equal sets; null for the empty one)."""
     rows, pairs = links(docs, n, percent)
-    ends = pairs.unionAll(pairs.select("b", "a").toDF("a", "b"))
-    degree = ends.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     roots = connected_components(pairs).withColumnsRenamed({"node": "class"})
-    known = least.join(roots, "class", "left").join(degree, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = least.join(roots, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     known = written(known, "known")
     component = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = written(known.join(component, "root").select("class", "component_id", "n_links"), "components")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id"), "n_links").unionAll(empty)
+    known = written(known.join(component, "root").select("class", "component_id"), "components")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
+    return rows.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id")).unionAll(empty)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
