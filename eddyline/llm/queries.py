@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, mixing, packing, pii, substring_dedup, transport, url_rules
+from . import exact_dedup, jaccard, licences, mixing, packing, pii, quality, substring_dedup, transport, url_rules
 from .common import read
 
 #: (host, path, verdict)
@@ -43,6 +43,14 @@ def op5_pfair_mix(spark, sf_dir):
     return mixing.schedule(read(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op6_weak_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
+def op7_licences(spark, sf_dir):
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op8_substring_dedup, op9_pii, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op6_weak_quality, op7_licences, op8_substring_dedup, op9_pii, op10_pack)}
 
 SQL = {
     "op2_exact_dedup": """
