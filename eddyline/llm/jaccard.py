@@ -3,7 +3,7 @@
 Documents with the same set are one class. Links are sought in two rounds.
 
 The first is a quick look: classes with the same least shingle, by LOOKS different
-orders, are sorted together and neighbours are compared. It finds most links of large
+orders, are sorted together and near neighbours are compared, set against set. It finds most links of large
 groups with a number of comparisons in proportion to the input, never a group's square.
 
 The second is complete: for a shared shingle order - rare ones first, by a count
@@ -23,6 +23,7 @@ nothing. Repeated rows are copies of a class. Shingles and sets are told apart b
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Counters of the sketch, and the row that carries so many of them.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-#: Orders of the first round.
-LOOKS = 4
+#: Orders of the first round, and sets that each one is held against in each.
+LOOKS, BEFORE = 3, 12
 #: Prefix entries in one lot of shingles, sets with their bitmaps in one lot of tiles, and sets in one block of a tile.
 TILE_ROWS, LOT, BLOCK = 400_000, 8_000, 1024
 #: Ids of texts to be read again that may be broadcast; more are joined by a shuffle.
@@ -196,19 +197,37 @@ def _tiles(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("n", "class", "prefix").mapInArrow(run, "tile long, hashes binary, classes binary, sizes binary")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (look, least, class): each class with the one before it."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        look, least, own = (np.asarray(batch.column(c)) for c in ("look", "least", "class"))
-        if last is not None:
-            look, least, own = np.r_[last[0], look], np.r_[last[1], least], np.r_[last[2], own]
-        last = look[-1:], least[-1:], own[-1:]
-        same = (look[1:] == look[:-1]) & (least[1:] == least[:-1])
-        x, y = own[:-1][same], own[1:][same]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+def _neighbours(percent: int):
+    """Links of sorted (look, least, class, set): each set is held against the last BEFORE with the same least shingle that aren't joined to it already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        key, held = None, deque(maxlen=BEFORE)
+        for batch in batches:
+            found = []
+            for look, least, own, stored in zip(*(batch.column(c).to_pylist() for c in ("look", "least", "class", "set")), strict=True):
+                if (look, least) != key:
+                    key = look, least
+                    held.clear()
+                values = np.frombuffer(stored, np.uint64)
+                for other, theirs in held:
+                    na, nb = len(values), len(theirs)
+                    if 100 * min(na, nb) < percent * max(na, nb) or root(own) == root(other):
+                        continue
+                    if enough(_common(values, theirs), na, nb, percent):
+                        parent[root(own)] = root(other)
+                        found.append((min(own, other), max(own, other)))
+                held.append((own, values))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -281,14 +300,11 @@ def _tile_pairs(percent: int):
     return run
 
 
-def _allowed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")]
-            keep = [enough(bound(x, y, na, nb), na, nb, percent) for x, y, na, nb in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays share."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def _linked(percent: int):
@@ -297,9 +313,7 @@ def _linked(percent: int):
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                keep.append(enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
+                keep.append(enough(_common(x, y), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -337,14 +351,14 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int
     first = [F.first(c).alias(c) for c in ("n", "bits", "prefix", "least")]  # equal in all copies
     classes = written(slim.where("n > 0").groupBy("class").agg(*first, F.min("text_key").alias("text_key")), "classes")
     slight = classes.select("class", "n", "bits")
-    of = lambda side: slight.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
 
-    # The first round. Ranges hold parts of a group where it is large.
+    # The first round. Neighbours differ from order to order; ranges hold parts of a group where it is large.
     looks = classes.select(F.posexplode("least").alias("look", "least"), "class")
-    looks = looks.repartitionByRange(partitions(spark), "look", "least", "class").sortWithinPartitions("look", "least", "class")
-    pairs = looks.mapInArrow(_neighbours, "a long, b long").distinct()
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_allowed(percent), "a long, b long")
-    quick = _verified(texts, classes, written(pairs, "pairs"), n, percent)
+    alike = looks.groupBy("look", "least").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    looks = written(looks.join(alike, ["look", "least"], "left_semi").withColumn("order", F.xxhash64("look", "class")), "looks")
+    wanted = classes.select("class", "text_key").join(looks.select("class").distinct(), "class", "left_semi")
+    rows = looks.join(_sets(texts, written(wanted, "wanted"), n), "class").repartitionByRange(partitions(spark), "look", "least", "order").sortWithinPartitions("look", "least", "order")
+    quick = written(rows.select("look", "least", "class", "set").mapInArrow(_neighbours(percent), "a long, b long"), "quick")
     roots = written(connected_components(quick).select(F.col("node").alias("class"), "root"), "roots")
 
     # The second round.
