@@ -28,7 +28,7 @@ from .common import CACHE_WORDS, Words, cut, written
 
 SIZE, GROUP, ROUNDS = 2048, 1024, 4
 #: Bytes of text for one step; larger ones meet fewer words twice.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 #: What the vocabulary's split pattern finds in lower-case Latin-1, and the ends of words.
 PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+|\n")
 #: Words that the tokenizer takes whole: other characters, and what may be a special token.
@@ -70,6 +70,7 @@ def encode(texts: pa.Array, path: str) -> list[bytes]:
     others = unique.filter(pa.array(odd)).to_pylist()
     simple = unique.filter(pa.array(~odd)) if others else unique
     line = pc.binary_join(pa.ListArray.from_arrays([0, len(simple)], simple), "\n").to_pylist()[0].lower() if len(simple) else ""
+    known.setdefault("\n", BREAK)
     flat = PRETOKEN.findall(line)
     fresh = [p for p in set(flat) if p not in known]
     if len(known) + len(fresh) + len(others) > CACHE_WORDS:
@@ -112,6 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                         row += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+        _encoder(tokenizer)[1].clear()  # the worker lives on and may do other things
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
 

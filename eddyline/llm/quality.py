@@ -14,6 +14,7 @@ decides; other columns don't matter.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, written
+from .common import STEP_BYTES, Words, cut
 
 #: Documents that train the scorer at most, hashed features, and the score from which a document is kept.
 TRAIN_ROWS, DIMENSION, KEEP = 8_000, 1 << 12, 0.5
@@ -45,7 +46,7 @@ _PLAIN = re.compile(r"[(\"']?[^\W\d_](?:[^\W\d_]|['’-])*[)\"']?[.,;:!?]?|[0-9]
 _MARKS = re.compile(r"[^\w\s]{2,}$")
 
 
-def _shape(word: str) -> tuple:
+def _shape_of(word: str) -> tuple:
     """Odd characters, characters, capitals only, ends in marks, has no letter or digit, hashed shape, over-long, not plain."""
     odd, n = len(_COMMON.findall(word)), len(word)
     bare = not any(c.isalnum() for c in word)
@@ -56,6 +57,23 @@ def _shape(word: str) -> tuple:
     return odd, n, caps, marks, bare, xxhash.xxh32_intdigest(text) % (DIMENSION - 1), n > 30, caps or not _PLAIN.fullmatch(word)
 
 
+@functools.cache
+def _like(word: str) -> tuple:
+    return _shape_of(word)
+
+
+def _shape(word: str) -> tuple:
+    """As _shape_of; words of letters, small but for the first, with one mark at most, look like others of their length."""
+    n = len(word)
+    tail = word[-1:] if word[-1:] in ".,;:!?" else ""
+    body = word[: n - len(tail)]
+    if 1 < len(body) <= 30 - len(tail) and body.isalpha() and body[1:].islower():
+        first = "A" if body[0].isupper() else "a" if body[0].islower() else ""
+        if first:
+            return _like(first + "a" * (len(body) - 1) + tail)
+    return _shape_of(word)
+
+
 class Measures:
     """Shares for the labellers, and hashed shapes, of some texts. The last feature is a word that repeats the one before."""
 
@@ -158,7 +176,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float, float, np.ndarray]:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", 2 * STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(Measures(part.column("text")).votes())], ["votes"])
 
     # At most 3 to the number of labellers rows.
@@ -167,7 +185,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float, float, np.ndarray]:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", 2 * STEP_BYTES):
                 m = Measures(part.column("text"))
                 doc, feature, share = m.sparse()
                 cuts = np.searchsorted(doc, np.arange(1, len(m.n)))
@@ -175,8 +193,11 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float, float, np.ndarray]:
                     [pa.array([x.tolist() for x in np.split(feature, cuts)], pa.list_(pa.int64())), pa.array([x.tolist() for x in np.split(share, cuts)], pa.list_(pa.float64())), pa.array(m.votes())], ["features", "shares", "votes"]
                 )
 
-    sample = texts.withColumn("key", F.xxhash64("doc_id", "text")).orderBy("key", "doc_id").limit(TRAIN_ROWS).select("text")
-    rows = written(sample.repartition(8), "sample").mapInArrow(measure, "features array<long>, shares array<double>, votes string").collect()
+    # Keys are chosen first, so that no more than the sample's own texts move.
+    keyed = texts.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    keys = keyed.select("key").distinct().orderBy("key").limit(TRAIN_ROWS)
+    rows = keyed.join(F.broadcast(keys), "key", "left_semi").select("text").mapInArrow(measure, "features array<long>, shares array<double>, votes string")
+    rows = rows.limit(2 * TRAIN_ROWS).collect()  # equal rows have equal keys; twice the sample is the bound
     known = {p: posterior(prior, table, p) for p in {r[2] for r in rows}}
     weights, bias = train([(r[0], r[1], known[r[2]]) for r in rows if r[0]])
     # Training gave both classes one weight; a score is a probability at their true shares.
@@ -189,7 +210,7 @@ def _scored(docs: DataFrame, whole: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch, "text", 2 * STEP_BYTES):
                 m = Measures(part.column("text"))
                 score = pa.array(m.scores(held.value, bias))
                 yield pa.RecordBatch.from_arrays([part.column(0), score] if whole else [part.column(0), score, pa.array(m.votes())], ["row", "score"] if whole else ["doc_id", "score", "votes"])
