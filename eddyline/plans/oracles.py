@@ -136,7 +136,7 @@ SQL = {
         from (values ('EV_000012_JAN_2018'), ('out/EV_2019_x-y_z.nc'), ('mhw_2018.nc'), ('mhw 1999.nc'), ('none'), ('a_77_b_2020_c_d')) v(name)""",
     "month_batches": "select cast(cast(m as date) as varchar) as first, cast(least(last_day(cast(m as date)), date '2024-12-15') as varchar) as last from (select unnest(generate_series(date '2024-01-01', date '2024-12-15', interval 1 month)) m)",
     "sinusoidal_xy": "select y as yi, x as xi, round(6371000.0 * radians(x * 3.0 - 30) * cos(radians(y * 2.5 - 20)), 2) as x, round(6371000.0 * radians(y * 2.5 - 20), 2) as y from (select cast(unnest(range(24)) as int) y), (select cast(unnest(range(24)) as int) x)",
-    "reproject_bilinear": sql("""select d + 19723 as t, fy as yi, fx as xi, round(sum((1 - abs(fy * 0.5 - y)) * (1 - abs(fx * 0.5 - x)) * v), 3) as value
+    "reproject_bilinear": sql("""select d + 19723 as t, fy as yi, fx as xi, round(cast(sum((1 - abs(fy * 0.5 - y)) * (1 - abs(fx * 0.5 - x)) * v) as double), 3) as value
         from ras join (select cast(unnest(range(47)) as int) fy) on abs(fy * 0.5 - y) < 1 join (select cast(unnest(range(47)) as int) fx) on abs(fx * 0.5 - x) < 1 group by 1, 2, 3"""),
     "labels_nearest": sql("select d + 19723 as t, cy as yi, cx as xi, c as label from kept join (select cast(unnest(range(10)) as int) cy) on y = cast(round_even(cy * 2.3, 0) as int) join (select cast(unnest(range(10)) as int) cx) on x = cast(round_even(cx * 2.3, 0) as int)"),
 }
