@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from eddyline.operators.graph import connected_components
 
-from .common import Words, cut, grams, mix, partitions, powers, written
+from .common import Words, cut, grams, mix, partitions, powers, tidy, written
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union.
@@ -42,7 +42,7 @@ PERCENT = 80
 #: Counters of the sketch, and the row that carries so many of them.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Orders of the first round, and sets that each one is held against in each.
-LOOKS, BEFORE = 3, 12
+LOOKS, BEFORE = 3, 32
 #: Prefix entries in one lot of shingles, sets with their bitmaps in one lot of tiles, and sets in one block of a tile.
 TILE_ROWS, LOT, BLOCK = 400_000, 8_000, 1024
 #: Ids of texts to be read again that may be broadcast; more are joined by a shuffle.
@@ -115,6 +115,7 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
             for part in cut(batch, "text"):
                 values, _ = shingles(Words(part.column("text"), lower=True), n)
                 total += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        tidy()
         rows = total.astype(np.int32).reshape(-1, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([r.tobytes() for r in rows], pa.binary())], ["chunk", "counts"])
 
@@ -165,6 +166,7 @@ def _slim(texts: DataFrame, n: int, percent: int) -> DataFrame:
                     [part.column("doc_id"), part.column("text_key"), pa.array(sizes.astype(np.int64)), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary()), least],
                     ["doc_id", "text_key", "n", "class", "bits", "prefix", "least"],
                 )
+        tidy()
 
     return texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, _SLIM)
 
@@ -364,13 +366,16 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int
     # The second round.
     shared = written(_tiles(classes, percent).groupBy("tile").applyInArrow(_shared, "h long, class long, size int"), "shared")
     shared = written(shared.join(roots, "class", "left").select("h", "class", "size", F.coalesce("root", "class").alias("root")), "rooted")
-    mixed = shared.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-    mixed = written(mixed.select("h", F.ceil(F.col("m") / block).alias("blocks")), "mixed")
+    mixed = shared.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class").alias("hub"), F.count(F.lit(1)).alias("m")).where("low < high")
+    mixed = written(mixed.select("h", "hub", "m", F.ceil(F.col("m") / block).alias("blocks")), "mixed")
+    # Shingles with the same first set mostly have the same sets: one lot, so that a pair is given out once. Large lots are split.
+    parts = mixed.groupBy("hub").agg(F.ceil(F.sum("m") / (2 * LOT)).alias("parts"))
+    mixed = written(mixed.join(parts, "hub").select("h", "blocks", F.xxhash64("hub", F.pmod(F.xxhash64("h"), "parts")).alias("near")), "lots")
     rows = shared.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(slight.select("class", "bits"), "class")
-    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "root", "size", "bits")
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "root", "size", "bits", "near", "blocks")
     lots = max(1, shared.join(mixed, "h", "left_semi").count() // LOT)
-    tiles = rows.withColumn("lot", F.pmod(F.xxhash64("h", "low", "high"), F.lit(lots))).groupBy("lot")
+    tiles = rows.withColumn("lot", F.pmod(F.xxhash64("near", F.when(F.col("blocks") > 1, F.struct("low", "high"))), F.lit(lots))).drop("near", "blocks").groupBy("lot")
     rest = written(tiles.applyInArrow(_tile_pairs(percent), "a long, b long").distinct(), "pairs")
     return slim.select("doc_id", "n", "class"), quick.unionAll(_verified(texts, classes, rest, n, percent))
 
