@@ -6,6 +6,8 @@ executor can read, so a lost executor costs a re-read and never a result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,20 @@ STEP_BYTES = 4 << 20
 CACHE_WORDS = 800_000
 
 
+def tune(spark: SparkSession) -> None:
+    """Batches of a few MB between Spark and Python, as texts are large and executors hold two copies of each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def tidy() -> None:
+    """Give free memory back to the system at the end of a task: Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -95,6 +111,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

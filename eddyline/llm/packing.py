@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Words, cut, written
+from .common import CACHE_WORDS, Words, cut, tidy, written
 
 SIZE, GROUP, ROUNDS = 2048, 1024, 4
 #: Bytes of text for one step; larger ones meet fewer words twice.
@@ -113,7 +113,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
                         row += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
-        _encoder(tokenizer)[1].clear()  # the worker lives on and may do other things
+        _encoder(tokenizer)[1].clear()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
 

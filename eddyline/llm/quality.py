@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Words, cut
+from .common import STEP_BYTES, Words, cut, tidy
 
 #: Documents that train the scorer at most, hashed features, and the score from which a document is kept.
 TRAIN_ROWS, DIMENSION, KEEP = 8_000, 1 << 12, 0.5
@@ -178,6 +178,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, float, float, np.ndarray]:
         for batch in batches:
             for part in cut(batch, "text", 2 * STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(Measures(part.column("text")).votes())], ["votes"])
+        tidy()
 
     # At most 3 to the number of labellers rows.
     counts = {r[0]: r[1] for r in texts.select("text").mapInArrow(vote, "votes string").groupBy("votes").count().collect()}
@@ -214,6 +215,7 @@ def _scored(docs: DataFrame, whole: bool) -> DataFrame:
                 m = Measures(part.column("text"))
                 score = pa.array(m.scores(held.value, bias))
                 yield pa.RecordBatch.from_arrays([part.column(0), score] if whole else [part.column(0), score, pa.array(m.votes())], ["row", "score"] if whole else ["doc_id", "score", "votes"])
+        tidy()
 
     if not whole:
         return _texts(docs).mapInArrow(run, "doc_id long, score double, votes string")
