@@ -228,6 +228,8 @@ def _neighbours(percent: int):
                         found.append((min(own, other), max(own, other)))
                 held.append((own, values))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        held.clear()
+        tidy()
 
     return run
 
@@ -297,6 +299,8 @@ def _tile_pairs(percent: int):
                     if m in second:
                         _compare(ids, roots, size, bits, left, second[m], percent, out)
         out = {p for p in out if p[0] != p[1]}
+        del bits, table
+        tidy()
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
@@ -317,6 +321,7 @@ def _linked(percent: int):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 keep.append(enough(_common(x, y), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return run
 
@@ -333,6 +338,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 values, starts = shingles(Words(part.column("text"), lower=True), n)
                 own = [values[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "set"])
+        tidy()
 
     # Exact copies have one text key; their first set is each one's.
     return wanted.join(texts.select("text_key", "text").mapInArrow(run, "text_key long, set binary").dropDuplicates(["text_key"]), "text_key").select("class", "set")
