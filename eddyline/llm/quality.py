@@ -41,6 +41,8 @@ LABELLERS = (
     ("long", -1.0, 0.20),  # words of over 30 characters
 )
 FEW = 12
+#: Words whose shapes are taken in one step.
+SHAPES = 8_192
 _COMMON = re.compile(r"[^\w\s.,;:!?'\"()\-]|_")
 _PLAIN = re.compile(r"[(\"']?[^\W\d_](?:[^\W\d_]|['’-])*[)\"']?[.,;:!?]?|[0-9]+[.,;:!?]?")
 _MARKS = re.compile(r"[^\w\s]{2,}$")
@@ -74,33 +76,43 @@ def _shape(word: str) -> tuple:
     return _shape_of(word)
 
 
+def _shapes(words: pa.Array) -> np.ndarray:
+    """The shapes of some words, a row for each measure; few of the words are Python's at a time."""
+    out = np.zeros((8, len(words)), np.int32)
+    for k in range(0, len(words), SHAPES):
+        out[:, k : k + SHAPES] = np.array([_shape(w) for w in words.slice(k, SHAPES).to_pylist()], np.int32).T
+    return out
+
+
 class Measures:
     """Shares for the labellers, and hashed shapes, of some texts. The last feature is a word that repeats the one before."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts)
-        table = np.array([_shape(w) for w in words.uniques.to_pylist()], np.int64).reshape(-1, 8)
+        table = _shapes(words.uniques)
         codes, starts = words.codes, words.offsets
         self.n = np.diff(starts)
         owner = np.repeat(np.arange(len(self.n)), self.n)
         again = np.zeros(len(codes), bool)
         again[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
-        pairs = np.unique(owner * np.int64(len(table) + 1) + codes)
-        distinct = np.bincount(pairs // (len(table) + 1), minlength=len(self.n))
+        pairs = owner * np.int64(table.shape[1] + 1) + codes
+        pairs.sort()
+        distinct = np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]] // (table.shape[1] + 1), minlength=len(self.n))
+        del pairs
         total = lambda v: np.bincount(owner, v, len(self.n))
         n = np.maximum(1, self.n)
-        own = table[codes]
+        own = lambda k: table[k][codes]  # noqa: E731  a column at a time
         self.shares = np.stack(
             [
-                total(own[:, 7].astype(bool) | again) / n,
-                total(own[:, 0]) / np.maximum(1, total(own[:, 1])),
+                total(own(7).astype(bool) | again) / n,
+                total(own(0)) / np.maximum(1, total(own(1))),
                 total(again) / n,
                 np.where(self.n <= 400, 1 - distinct / n, 0.85),
-                *(total(own[:, k]) / n for k in (2, 3, 4, 6)),
+                *(total(own(k)) / n for k in (2, 3, 4, 6)),
             ],
             1,
         )
-        self.owner, self.shapes, self.again = owner, own[:, 5], again
+        self.owner, self.shapes, self.again = owner, own(5), again
 
     def votes(self) -> list[str]:
         good = np.array([x[1] for x in LABELLERS])
