@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eddyline.sources.scratch import release, shared_dir, written  # noqa: F401  the operators take them from here
 
@@ -115,6 +116,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row() -> F.Column:
+    """All columns as one struct named ``row``, whatever they are called."""
+    return F.struct("*").alias("row")
+
+
+def row_schema(packed: DataFrame, *more: tuple[str, str]) -> StructType:
+    """``row`` as it is in ``packed``, and further (name, type) columns."""
+    out = StructType([packed.schema["row"]])
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
+
+
 def spread(*columns) -> F.Column:
     """A 64-bit hash of some columns, for dealing rows out evenly."""
     return F.xxhash64(*columns)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain, written
+from .common import cut, plain, row_schema, whole_row, written
 
 #: Digests for one segment of the first filter, and bits for each.
 SEGMENT, BITS, PROBES = 32_768, 16, 4
@@ -168,15 +168,14 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     schema = docs.schema
     slim = written(digests(docs), "digests")
     repeats = RepeatFilter(slim)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
+    packed = docs.select(whole_row(), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(_digests(part.column("text")), pa.binary())], ["row", "doc_id", "digest"])
 
-    flagged = packed.mapInArrow(add, f"row {kind}, doc_id long, digest binary")
+    flagged = packed.mapInArrow(add, row_schema(packed, ("doc_id", "long"), ("digest", "binary")))
     unique, maybe = repeats.split(flagged)
     _, groups = _groups(repeats.split(slim)[1])
     kept = groups.select("digest", F.col("keep_id"))

@@ -402,7 +402,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all columns: of each component the one with the smallest doc_id.
 
-    Only ids are compared; where fewer ids go than BROADCAST_IDS no text is shuffled.
+    Only ids are compared; where fewer ids go than BROADCAST_IDS no text is shuffled. Rows with
+    one doc_id share its fate; rows without a doc_id can't be told apart and stay.
     """
     gone = near_duplicates(docs, n, percent).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = written(gone, "gone")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import whole_row, written
 
 BLOCK = 16
 #: Rows in a bucket when ranking; many buckets share a source.
@@ -95,7 +95,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, ke
     """
     if REST not in weights or min(weights.values()) < 1:
         raise ValueError("weights are whole numbers from 1, one of them for REST")
-    columns = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []
+    columns = [whole_row()] if keep else []
     rows, _ = _ranked(docs, columns, weights)
     if not keep:
         rows = written(rows, "ranks")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Words, cut, tidy
+from .common import STEP_BYTES, Words, cut, row_schema, tidy, whole_row
 
 #: Documents that train the scorer at most, hashed features, and the score from which a document is kept.
 TRAIN_ROWS, DIMENSION, KEEP = 8_000, 1 << 12, 0.5
@@ -231,8 +231,8 @@ def _scored(docs: DataFrame, whole: bool) -> DataFrame:
 
     if not whole:
         return _texts(docs).mapInArrow(run, "doc_id long, score double, votes string")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    packed = docs.select(whole_row(), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return packed.mapInArrow(run, row_schema(packed, ("score", "double")))
 
 
 def classify(docs: DataFrame, keep: float = KEEP) -> DataFrame:
