@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from eddyline.sources.scratch import release, shared_dir, written  # noqa: F401  the operators take them from here
 
 #: Bytes of text that one step in Python handles at a time, whatever Spark's batches hold.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Words that a worker remembers at most; then it forgets all and starts again.
 CACHE_WORDS = 800_000
 
@@ -29,6 +29,7 @@ CACHE_WORDS = 800_000
 def tune(spark: SparkSession) -> None:
     """Batches of a few MB between Spark and Python, as texts are large and executors hold two copies of each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # a text of more is a batch of its own
 
 
 def tidy() -> None:
