@@ -15,6 +15,10 @@ many), and in each tile hashed bitmaps are compared: the bits that one set has a
 the other lacks bound the overlap from above. Pairs across components that may still
 link are decided by an exact intersection of the sorted arrays. Nothing is capped.
 
+These rounds give enough links to join each component. As linked classes are always in
+one component, all links are counted there: its sets are dealt into blocks, each pair of
+blocks is compared set against set, and only sums by class leave a task.
+
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Fewer words than a shingle
 make one shingle of the whole; no words (or null) make the empty set, which links with
 nothing. Repeated rows are copies of a class. Shingles and sets are told apart by
@@ -45,6 +49,8 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 LOOKS, BEFORE = 3, 32
 #: Prefix entries in one lot of shingles, sets with their bitmaps in one lot of tiles, and sets in one block of a tile.
 TILE_ROWS, LOT, BLOCK = 400_000, 8_000, 1024
+#: Where links are counted: sets in one block of a component, bytes of sets in one lot, and shingles in one matrix product.
+MEMBERS, LOT_BYTES, COLUMNS = 128, 8 << 20, 4096
 #: Ids of texts to be read again that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -313,6 +319,64 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """How many values each set of x shares with each of y, or of x itself where y is None."""
+    sets = x + (y or [])
+    if len(sets) <= 4:
+        return np.array([[_common(a, b) for b in y or x] for a in x])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    left = owner < len(x)
+    # Values that only one side or one set has add nothing.
+    holders = np.bincount(codes[left], minlength=codes.max() + 1)
+    useful = (holders > 0) & (np.bincount(codes[~left], minlength=len(holders)) > 0) if y else holders > 1
+    kept = useful[codes]
+    column, owner = (np.cumsum(useful) - 1)[codes[kept]], owner[kept]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(x), len(y or x)), np.int64)
+    for k in range(0, int(useful.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (k, k + COLUMNS))
+        bits = np.zeros((len(sets), COLUMNS), np.float32)
+        bits[owner[a:b], column[a:b] - k] = 1
+        out += (bits[: len(x)] @ (bits[len(x) :] if y else bits).T).astype(np.int64)
+    if not y:
+        np.fill_diagonal(out, [len(v) for v in x])
+    return out
+
+
+def _degrees(percent: int):
+    """From a lot of pairs of blocks (root, low, high): how many links each class has in them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        root, low, high, block, ids = (np.asarray(table.column(c)) for c in ("root", "low", "high", "block", "class"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        n, degree = np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64)
+        order = np.lexsort((block, high, low, root))
+        tile = np.stack([root, low, high], 1)[order]
+        edges = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1), True])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[a:b]
+            one, two = rows[block[rows] == low[rows[0]]], rows[block[rows] == high[rows[0]]]
+            alone = low[rows[0]] == high[rows[0]]
+            if not len(one) or not len(two):
+                continue
+            inter = _overlaps([sets[i] for i in one], None if alone else [sets[i] for i in two])
+            link = enough(inter, n[one][:, None], n[two], percent)
+            if alone:
+                np.fill_diagonal(link, False)
+            else:
+                degree[two] += link.sum(0)
+            degree[one] += link.sum(1)
+        own, at = np.unique(ids, return_inverse=True)
+        total = np.bincount(at, degree, len(own)).astype(np.int64)
+        del sets, table
+        tidy()
+        return pa.table({"class": pa.array(own), "n_links": pa.array(total)})
+
+    return run
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,8 +416,8 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pe
     return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, pairs of classes that link, enough of them to join each component). Documents: doc_id, n, class."""
+def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their class, classes, pairs of classes that link, enough of them to join each component). Documents: doc_id, n, class."""
     spark, texts = docs.sparkSession, _texts(docs)
     slim = written(_slim(texts, n, percent), "shingles")
     first = [F.first(c).alias(c) for c in ("n", "bits", "prefix", "least")]  # equal in all copies
@@ -383,20 +447,42 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int
     lots = max(1, shared.join(mixed, "h", "left_semi").count() // LOT)
     tiles = rows.withColumn("lot", F.pmod(F.xxhash64("near", F.when(F.col("blocks") > 1, F.struct("low", "high"))), F.lit(lots))).drop("near", "blocks").groupBy("lot")
     rest = written(tiles.applyInArrow(_tile_pairs(percent), "a long, b long").distinct(), "pairs")
-    return slim.select("doc_id", "n", "class"), quick.unionAll(_verified(texts, classes, rest, n, percent))
+    return slim.select("doc_id", "n", "class"), classes, quick.unionAll(_verified(texts, classes, rest, n, percent))
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id (equal for equal sets; null for the empty one)."""
-    rows, pairs = links(docs, n, percent)
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, n, class; classes; class, root and component_id of each class)."""
+    rows, classes, pairs = links(docs, n, percent)
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     roots = connected_components(pairs).withColumnsRenamed({"node": "class"})
     known = least.join(roots, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     known = written(known, "known")
     component = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = written(known.join(component, "root").select("class", "component_id"), "components")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
-    return rows.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id")).unionAll(empty)
+    return rows, classes, written(known.join(component, "root").select("class", "root", "component_id"), "components")
+
+
+def _link_counts(docs: DataFrame, classes: DataFrame, known: DataFrame, n: int, percent: int, members: int) -> DataFrame:
+    """class and n_links of the classes in components of two or more; every pair within a component is compared."""
+    own = classes.select("class", "text_key", "n").join(known.select("class", "root"), "class")
+    bytes_ = F.sum("n") * 8
+    large = own.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(bytes_ / (LOT_BYTES // 2))).alias("blocks")).where("m > 1")
+    own = written(own.join(large.select("root", "blocks"), "root"), "members")
+    total = own.agg(F.sum(F.col("n") * F.col("blocks"))).head()[0] or 0
+    lots = max(partitions(docs.sparkSession), 8 * total // LOT_BYTES)
+    rows = own.select("class", "root", "blocks", F.pmod(F.xxhash64("class"), "blocks").alias("block")).join(_sets(_texts(docs), own, n), "class")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "set")
+    lot = F.pmod(F.xxhash64("root", "low", "high"), F.lit(lots)).alias("lot")
+    return rows.groupBy(lot).applyInArrow(_degrees(percent), "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, members: int = MEMBERS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id (equal for equal sets; null for the empty one), n_links (classes that its own links with)."""
+    rows, classes, known = _components(docs, n, percent)
+    counts = written(_link_counts(docs, classes, known, n, percent, members), "degrees")
+    known = known.join(counts, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id"), "n_links").unionAll(empty)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -405,7 +491,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCE
     Only ids are compared; where fewer ids go than BROADCAST_IDS no text is shuffled. Rows with
     one doc_id share its fate; rows without a doc_id can't be told apart and stay.
     """
-    gone = near_duplicates(docs, n, percent).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    rows, _, known = _components(docs, n, percent)
+    gone = rows.where("n > 0").join(known, "class").where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = written(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

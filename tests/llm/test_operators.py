@@ -118,6 +118,27 @@ def test_jaccard(docs, empty, rows, block, monkeypatch):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_counts_every_link(spark):
+    rng = random.Random(3)
+    # Large groups of near copies: every pair of some links, of others only some pairs.
+    texts = []
+    for most in (2, 5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(25):
+            own = list(base)
+            for at in rng.sample(range(300), rng.randrange(1, most + 1)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += [texts[0], "one two", ""]
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) if t else frozenset() for t in texts]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(linked(own, other) for other in set(sets) - {own}) for i, own in enumerate(sets)}
+    assert max(want.values()) == 24 and len(set(want.values())) > 4
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for members in (7, jaccard.MEMBERS):
+        assert {r.doc_id: r.n_links for r in jaccard.near_duplicates(table, members=members).collect()} == want
+
+
 def test_url_rules(spark):
     urls = ["https://a.Example.org/es/x?y", "http://example.org/en/12#t", "https://x.org/en", "https://m.com/fr/1", "https://m.com/de", "https://m.com/de/a://b", "no scheme", None, "://", "https://org/", "https://notexample.org/es/"] * 2
     got = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumnRenamed("url", "url"), URL_RULES).collect()
