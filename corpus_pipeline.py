@@ -31,8 +31,11 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as pieces of token sequences."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Documents as pieces of token sequences, which follow the mixture by sequence_id.
+
+    Tables have no order of rows, so positions are derived from the documents again: they are those of the stage before.
+    """
+    return packing.pack_documents(docs, tokenizer_path(), weights=WEIGHTS)
 
 
 STAGES = [

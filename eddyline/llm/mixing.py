@@ -77,26 +77,30 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple]
     return out
 
 
-def _ranked(docs: DataFrame, columns: list[Column], weights: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
+def rank_key() -> Column:
+    """What documents of a source are ranked by."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def _ranked(docs: DataFrame, columns: list[Column], weights: Mapping[str, int], key: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with stream (the weight that they share) and bucket, and each bucket's rank offset."""
     named = [s for s in weights if s != REST]
     source = F.col("source").cast("string")
     stream = F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST)
     n = docs.count()
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = docs.select(*columns, F.col("doc_id").cast("long").alias("__doc"), source.alias("__source"), stream.alias("__stream"), key.alias("__key"))
     return rows.withColumn("__bucket", F.pmod(F.col("__key"), F.lit(max(1, n // BUCKET)))), n
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, keep: bool = False) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, keep: bool = False, key: str | None = None) -> DataFrame:
     """Every document's place in the mixture: doc_id, source, stream, block, slot, release, deadline, position; with ``keep`` also all columns, as ``row``.
 
-    weights: whole numbers by source; that of REST holds for all other sources.
+    weights: whole numbers by source; that of REST holds for all other sources. key: the column that holds ``rank_key``, where the text is no longer there.
     """
     if REST not in weights or min(weights.values()) < 1:
         raise ValueError("weights are whole numbers from 1, one of them for REST")
     columns = [whole_row()] if keep else []
-    rows, _ = _ranked(docs, columns, weights)
+    rows, _ = _ranked(docs, columns, weights, F.col(key) if key else rank_key())
     if not keep:
         rows = written(rows, "ranks")
     counts = written(rows.groupBy("__stream", "__bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")

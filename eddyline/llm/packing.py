@@ -7,6 +7,10 @@ lower bound on its sequences: a group that meets it is certified and closed. The
 other groups exchange what lies in their unfilled sequences - it is dealt anew
 over fewer groups - and pack again, for as long as that saves sequences.
 
+With weights, groups are stretches of the mixture (see ``mixing``): each document's
+position is worked out from its source, doc_id and text, so no order of rows or files
+matters. A sequence's id rises with the position of its first piece.
+
 Defined cases: null or empty text is one piece of one id; repeated rows are packed
 each for itself; an empty table gives an empty result; other columns don't matter.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import CACHE_WORDS, Words, cut, tidy, written
 
 SIZE, GROUP, ROUNDS = 2048, 1024, 4
@@ -36,7 +41,11 @@ ODD = "[^!-~¡-¬®-ÿ]|<[|]"
 #: Stands between words; no id is as high.
 BREAK = b"\xff\xff\xff\xff"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
-_PACKED = _PIECE + ", group long, sequence long, offset long, free int, gap long"
+_MIXED = _PIECE + ", document long, source string, key long"
+_PLACED = _PIECE + ", position long"
+_MORE = ", group long, sequence long, offset long, free int, gap long"
+#: Pieces that a document has at most are 2 ** PIECES.
+PIECES = 22
 
 _encoders: dict[str, tuple] = {}
 
@@ -96,27 +105,45 @@ def encode(texts: pa.Array, path: str) -> list[bytes]:
     return [b"".join(inside[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32; ``row`` tells repeated rows apart."""
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, mixed: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32; ``row`` tells repeated rows apart. For the mixture also document (the row of its first piece), source and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in cut(batch, "text", ENCODE_BYTES):
                 out: list[list] = [[] for _ in range(6)]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"), tokenizer), strict=True):
+                owner, document = [], []
+                for i, (doc_id, ids) in enumerate(zip(part.column("doc_id").to_pylist(), encode(part.column("text"), tokenizer), strict=True)):
                     ids += b"\0\0\0\0"
+                    count = -(-len(ids) // (4 * size))
+                    owner += [i] * count
+                    document += [row] * count
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[at : at + 4 * size]
                         for to, value in zip(out, (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), row), strict=True):
                             to.append(value)
                         row += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+                arrays, names = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+                if mixed:
+                    at = pa.array(owner, pa.int64())
+                    arrays += [pa.array(document, pa.int64()), part.column("source").take(at), part.column("key").take(at)]
+                    names += ["document", "source", "key"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
         _encoder(tokenizer)[1].clear()
         tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
+    more = [F.col("source").cast("string").alias("source"), mixing.rank_key().alias("key")] if mixed else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, _MIXED if mixed else _PIECE)
+
+
+def placed(rows: DataFrame, weights: Mapping[str, int]) -> DataFrame:
+    """Pieces with their document's position in the mixture."""
+    rows = written(rows, "unplaced")
+    first = rows.where("piece = 0").select("doc_id", "source", "key", "document")
+    places = mixing.schedule(first, weights, keep=True, key="key").select("row.document", "position")
+    return rows.join(places, "document").select(*[f.split()[0] for f in _PLACED.split(", ")])
 
 
 def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,14 +187,19 @@ def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
     return best
 
 
-def _pack(size: int):
+def _pack(size: int, ordered: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.select([f.split()[0] for f in _PIECE.split(", ")] + ["group"])
+        table = table.select([f.split()[0] for f in (_PLACED if ordered else _PIECE).split(", ")] + ["group"])
         lengths = table.column("length").to_numpy()
         order = np.lexsort((table.column("row").to_numpy(), -lengths))
         bins, offsets, free = best_fit(lengths[order], size)
         gap = int(bins.max()) + 1 - lower_bound(lengths, size)
         table = table.take(pa.array(order))
+        if ordered:  # a document has one piece here at most, so ids are unique
+            first = np.flatnonzero(offsets == 0)
+            ids = np.zeros(len(first), np.int64)
+            ids[bins[first]] = (table.column("position").to_numpy()[first] << PIECES) + table.column("piece").to_numpy()[first]
+            bins = ids[bins]
         for name, values in (("sequence", bins), ("offset", offsets), ("free", free.astype(np.int32)), ("gap", np.full(len(bins), gap, np.int64))):
             table = table.append_column(name, pa.array(values))
         return table
@@ -176,31 +208,38 @@ def _pack(size: int):
 
 
 def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Add sequence_id and offset to pieces (see ``pieces``) of at most ``size``."""
+    """Add sequence_id and offset to pieces (see ``pieces``) of at most ``size``; those with a position (see ``placed``) are packed by stretches of it, and ids follow it."""
+    ordered = "position" in rows.columns
     rows = written(rows, "pieces")
-    full = rows.where(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    own = F.shiftleft("position", PIECES) + F.col("piece") if ordered else -1 - F.col("row")
+    names = [f.split()[0] for f in (_PLACED if ordered else _PIECE).split(", ")]
+    schema = (_PLACED if ordered else _PIECE) + _MORE
+    end = (rows.agg(F.max("position")).head()[0] or 0) + 1 if ordered else 0  # one number
+    full = rows.where(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out, left, before = full, rows.where(F.col("length") < size), None
     for k in range(rounds):
         groups = max(1, -(-left.count() // group))
-        dealt = left.withColumn("group", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(groups)))
-        packed = written(dealt.groupBy("group").applyInArrow(_pack(size), _PACKED), f"packed{k}")
-        number = F.lit(k).cast("long") * F.lit(1 << 58) + F.col("group") * F.lit(1 << 20) + F.col("sequence")
-        ready = packed.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset", "free", "gap", "row")
+        span = -(-end // groups)
+        dealt = left.withColumn("group", F.expr(f"position div {span}") if ordered else F.pmod(F.xxhash64("row", F.lit(k)), F.lit(groups)))
+        packed = written(dealt.groupBy("group").applyInArrow(_pack(size, ordered), schema), f"packed{k}")
+        number = F.col("sequence") if ordered else F.lit(k).cast("long") * F.lit(1 << 58) + F.col("group") * F.lit(1 << 20) + F.col("sequence")
+        ready = packed.select(*names, number.alias("sequence_id"), "offset", "free", "gap")
         if before is not None:
             was, now = (df.where(F.col("offset") == 0).count() for df in (before, ready))
             if now >= was:  # the exchange saved nothing: the packing before it stays
-                return out.unionAll(before.drop("free", "gap", "row"))
+                return out.unionAll(before.select(*out.columns))
         unsure = (F.col("gap") > 0) & (F.col("free") > 0)
         if k == rounds - 1 or groups == 1:
-            return out.unionAll(ready.drop("free", "gap", "row"))
-        out = out.unionAll(ready.where(~unsure).drop("free", "gap", "row"))
+            return out.unionAll(ready.select(*out.columns))
+        out = out.unionAll(ready.where(~unsure).select(*out.columns))
         before = ready.where(unsure)
-        left = before.select("doc_id", "piece", "start", "length", "ids_crc32", "row")
+        left = before.select(*names)
         if before.isEmpty():
             return out
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, tokenizer, size), size, group, rounds)
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, group: int = GROUP, rounds: int = ROUNDS, weights: Mapping[str, int] | None = None) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. With weights by source (see ``mixing``) sequences follow the mixture, by sequence_id."""
+    rows = pieces(docs, tokenizer, size, bool(weights))
+    return pack(placed(rows, weights) if weights else rows, size, group, rounds)

@@ -136,3 +136,25 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == docs.columns, name
         assert os.path.exists(tmp_path) and kept.count() > 0
+
+
+def test_pipeline_sequences_follow_weights(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    # A hot source: nine in ten documents.
+    table = spark.createDataFrame([(i, " ".join(rng.choice(("river", "stone", "cloud")) for _ in range(rng.randrange(150, 900))), "b" if i % 10 == 0 else "a") for i in range(1500)], "doc_id long, text string, source string")
+    source = {r.doc_id: r.source for r in table.collect()}
+
+    def early(a, b):
+        """The share of b's tokens in what comes first, while b lasts; positions against the schedule."""
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"a": a, "b": b, mixing.REST: 1})
+        table.repartition(5).write.mode("overwrite").parquet(f"{tmp_path}/in")
+        corpus_pipeline.mix_stage(spark, spark.read.parquet(f"{tmp_path}/in"), "").write.mode("overwrite").parquet(f"{tmp_path}/mixed")
+        got = corpus_pipeline.pack_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").toPandas()
+        own = got.groupby("sequence_id")["length"].sum()
+        assert own.max() <= 2048 and got.duplicated(["doc_id", "piece"]).sum() == 0 and set(got["doc_id"]) == set(source)
+        got = got.sort_values(["sequence_id", "offset"])
+        first = got[got["length"].cumsum() <= got["length"].sum() // 12]
+        return first.loc[first["doc_id"].map(source) == "b", "length"].sum() / first["length"].sum()
+
+    monkeypatch.setattr(packing.pack_documents, "__defaults__", (packing.SIZE, 64, packing.ROUNDS, None))
+    assert abs(early(1, 1) - 1 / 2) < 0.1 and abs(early(3, 1) - 1 / 4) < 0.1 and abs(early(1, 3) - 3 / 4) < 0.1
