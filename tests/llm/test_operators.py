@@ -183,6 +183,29 @@ def test_licences(docs, empty, spark):
     assert licences.model().accuracy > 0.9 and licences.scan(docs).count() == docs.count() and licences.scan(empty).count() == 0
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_licences_wrapped(mark):
+    notices = {
+        "GPL-3.0": GPL.format(":", ",", 3),
+        "GPL-2.0": GPL.format(";", ";", 2),
+        "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0. If a copy of the MPL was not",
+    }
+    for family, notice in notices.items():
+        text = "prose of the house\nand more\n\n" + "\n".join(mark + line for line in notice.split("\n")) + "\n\nthe end of the general story"
+        hits = licences.model().scan(text)
+        assert [(h[0], h[1], h[2]) for h in hits] in ([(3, 29, family)], [(4, 29 + len(mark) + len(notice.split("\n")[0]) + 1, family)]), (family, hits)
+    prose = "\n".join(licences.OTHERS)
+    assert not licences.model().scan(prose)
+
+
 def test_substring(docs, empty, rows):
     ordered = sorted(set((i, t) for i, t, *_ in rows))
     first, want = {}, {}
