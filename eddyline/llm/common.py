@@ -130,6 +130,45 @@ def row_schema(packed: DataFrame, *more: tuple[str, str]) -> StructType:
     return out
 
 
+class KeyFilter:
+    """A Bloom filter over a long column, of at most MOST_BITS bits (8 MB) whatever the input.
+
+    It tells rows that certainly have none of the keys, so that only the others need a join. Beyond some
+    millions of keys it lets more rows through: that costs a shuffle of them and changes no result.
+    """
+
+    MOST_BITS, PROBES = 1 << 26, 4
+
+    def __init__(self, keys: DataFrame, column: str):
+        self.column = column
+        self.bits = bits = min(self.MOST_BITS, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+        places = F.array(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(self.PROBES)))
+        at = keys.select(F.explode(places).alias("at"))
+        found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()  # bits / 64 rows at most
+        table = np.zeros(bits // 64, np.int64)
+        table[np.asarray(found.column("word"))] = np.asarray(found.column("set"))
+        self.held = keys.sparkSession.sparkContext.broadcast(table)
+
+    def _maybe(self) -> F.Column:
+        held = self.held
+
+        @F.arrow_udf("boolean")
+        def known(places: pa.Array) -> pa.Array:
+            at = np.asarray(places.flatten())
+            hit = (held.value[at >> 6] >> (at & 63)) & 1
+            return pa.array(hit.reshape(-1, KeyFilter.PROBES).all(1))
+
+        return known(F.array(*(F.pmod(F.xxhash64(self.column, F.lit(k)), F.lit(self.bits)) for k in range(self.PROBES))))
+
+    def inside(self, rows: DataFrame) -> DataFrame:
+        """Rows that may have one of the keys."""
+        return rows.where(self._maybe())
+
+    def outside(self, rows: DataFrame) -> DataFrame:
+        """Rows that certainly have none."""
+        return rows.where(~self._maybe())
+
+
 def spread(*columns) -> F.Column:
     """A 64-bit hash of some columns, for dealing rows out evenly."""
     return F.xxhash64(*columns)
