@@ -1,11 +1,15 @@
 """Best-fit packing with certified repacking.
 
 Documents become token ids (and id 0 at the end); those longer than a sequence
-are cut into pieces. Pieces are dealt into groups of about GROUP rows, and each
-group is packed by best-fit decreasing. Dual-feasible functions give each group a
-lower bound on its sequences: a group that meets it is certified and closed. The
-other groups exchange what lies in their unfilled sequences - it is dealt anew
-over fewer groups - and pack again, for as long as that saves sequences.
+are cut into pieces. Pieces are dealt into groups, and each group is packed by
+best-fit decreasing. Dual-feasible functions give each group a lower bound on its
+sequences: a group that meets it is certified and closed but for its least filled
+sequence. That one, and all unfilled sequences of the groups with a gap, are exchanged:
+their pieces are dealt anew, over fewer and larger groups, and packed again. This ends
+when all sequences together meet the bound over all pieces, or when one group (or groups
+of MERGED pieces) saved nothing. If the bound over all pieces isn't met by then, the
+closed groups are opened once more and take part as well (with weights, see below, only
+their unfilled sequences).
 
 With weights, groups are stretches of the mixture (see ``mixing``): each document's
 position is worked out from its source, doc_id and text, so no order of rows or files
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from . import mixing
 from .common import CACHE_WORDS, Words, cut, tidy, written
 
-SIZE, GROUP, ROUNDS = 2048, 1024, 4
+SIZE, GROUP = 2048, 1024
+#: Pieces in one group at most, however far groups are merged: some 20 MB in a task.
+MERGED = 1 << 18
 #: Bytes of text for one step; larger ones meet fewer words twice.
 ENCODE_BYTES = 8 << 20
 #: What the vocabulary's split pattern finds in lower-case Latin-1, and the ends of words.
@@ -43,7 +49,7 @@ BREAK = b"\xff\xff\xff\xff"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 _MIXED = _PIECE + ", document long, source string, key long"
 _PLACED = _PIECE + ", position long"
-_MORE = ", group long, sequence long, offset long, free int, gap long"
+_MORE = ", group long, sequence long, offset long, free int, moves boolean"
 #: Pieces that a document has at most are 2 ** PIECES.
 PIECES = 22
 
@@ -169,11 +175,16 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndar
     return bins, offsets, np.asarray(free, np.int64)[bins] if len(bins) else np.zeros(0, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
-    """No packing has fewer bins: the best of two families of dual-feasible functions, in whole numbers."""
+def lower_bound(lengths: np.ndarray | list[tuple[int, int]], size: int = SIZE) -> int:
+    """No packing has fewer bins: the best of two families of dual-feasible functions, in whole numbers. Lengths may come as (length, how many)."""
     if not len(lengths):
         return 0
-    n = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    if isinstance(lengths, list):
+        n = np.zeros(size + 1, np.int64)
+        for length, many in lengths:
+            n[length] += many
+    else:
+        n = np.bincount(lengths, minlength=size + 1).astype(np.int64)
     x = np.arange(size + 1, dtype=np.int64)
     count, total = np.cumsum(n), np.cumsum(n * x)
     best = -(-int(total[-1]) // size)
@@ -188,26 +199,35 @@ def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
 
 
 def _pack(size: int, ordered: bool):
+    """A group by best-fit decreasing; ``moves`` are the pieces that are exchanged."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.select([f.split()[0] for f in (_PLACED if ordered else _PIECE).split(", ")] + ["group"])
         lengths = table.column("length").to_numpy()
         order = np.lexsort((table.column("row").to_numpy(), -lengths))
         bins, offsets, free = best_fit(lengths[order], size)
         gap = int(bins.max()) + 1 - lower_bound(lengths, size)
+        moves = (free > 0) & ((gap > 0) | (bins == bins[np.argmax(free)]))
         table = table.take(pa.array(order))
         if ordered:  # a document has one piece here at most, so ids are unique
             first = np.flatnonzero(offsets == 0)
             ids = np.zeros(len(first), np.int64)
             ids[bins[first]] = (table.column("position").to_numpy()[first] << PIECES) + table.column("piece").to_numpy()[first]
             bins = ids[bins]
-        for name, values in (("sequence", bins), ("offset", offsets), ("free", free.astype(np.int32)), ("gap", np.full(len(bins), gap, np.int64))):
+        for name, values in (("sequence", bins), ("offset", offsets), ("free", free.astype(np.int32)), ("moves", moves)):
             table = table.append_column(name, pa.array(values))
         return table
 
     return run
 
 
-def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def certificate(packed: DataFrame, size: int = SIZE) -> tuple[int, int]:
+    """(sequences, a lower bound on them) of packed pieces; where they are equal no packing has fewer."""
+    counts = [(r[0], r[1]) for r in packed.groupBy("length").count().collect()]  # at most ``size`` rows
+    return packed.where("offset = 0").count(), lower_bound(counts, size)
+
+
+def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, merged: int = MERGED) -> DataFrame:
     """Add sequence_id and offset to pieces (see ``pieces``) of at most ``size``; those with a position (see ``placed``) are packed by stretches of it, and ids follow it."""
     ordered = "position" in rows.columns
     rows = written(rows, "pieces")
@@ -216,30 +236,50 @@ def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, rounds: int = RO
     schema = (_PLACED if ordered else _PIECE) + _MORE
     end = (rows.agg(F.max("position")).head()[0] or 0) + 1 if ordered else 0  # one number
     full = rows.where(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out, left, before = full, rows.where(F.col("length") < size), None
-    for k in range(rounds):
-        groups = max(1, -(-left.count() // group))
+    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``size`` rows
+    counts.pop(size, None)
+    bound, n = lower_bound(list(counts.items()), size), sum(counts.values())
+    out: list[DataFrame] = []  # closed groups: all but what moves on
+    left, before, was, sure, opened, k, numbered = rows.where(F.col("length") < size), None, 0, 0, False, 0, 0
+    while n:
+        per = merged if opened else min(merged, group << 3 * k)
+        groups = -(-n // per)
         span = -(-end // groups)
         dealt = left.withColumn("group", F.expr(f"position div {span}") if ordered else F.pmod(F.xxhash64("row", F.lit(k)), F.lit(groups)))
-        packed = written(dealt.groupBy("group").applyInArrow(_pack(size, ordered), schema), f"packed{k}")
-        number = F.col("sequence") if ordered else F.lit(k).cast("long") * F.lit(1 << 58) + F.col("group") * F.lit(1 << 20) + F.col("sequence")
-        ready = packed.select(*names, number.alias("sequence_id"), "offset", "free", "gap")
-        if before is not None:
-            was, now = (df.where(F.col("offset") == 0).count() for df in (before, ready))
-            if now >= was:  # the exchange saved nothing: the packing before it stays
-                return out.unionAll(before.select(*out.columns))
-        unsure = (F.col("gap") > 0) & (F.col("free") > 0)
-        if k == rounds - 1 or groups == 1:
-            return out.unionAll(ready.select(*out.columns))
-        out = out.unionAll(ready.where(~unsure).select(*out.columns))
-        before = ready.where(unsure)
+        packed = written(dealt.groupBy("group").applyInArrow(_pack(size, ordered), schema), "packed")
+        number = F.col("sequence") if ordered else (F.col("group") + F.lit(numbered)) * F.lit(1 << 20) + F.col("sequence")
+        ready = packed.select(*names, number.alias("sequence_id"), "offset", "free", "moves")
+        now, moved, pieces_moved = ready.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & F.col("moves")), F.count_if("moves")).head()
+        saved = before is None or now < was
+        if not saved:  # the packing before it stays
+            ready, now = before, was
+        k, numbered = k + 1, numbered + groups
+        if saved and sure + now > bound and groups > 1:
+            out.append(ready.where("not moves"))
+            sure, before, was, n = sure + now - moved, ready.where("moves"), moved, pieces_moved
+        elif sure + now > bound and groups > 1 and per < merged:
+            before, was = ready, now  # as they are, into larger groups
+        elif sure + now > bound and out and not opened:
+            opened = True
+            # Filled sequences stay only where pieces shouldn't leave their stretch of the mixture.
+            loose = [part.where("free > 0") if ordered else part for part in (*out, ready)]
+            out = [part.where("free = 0") for part in (*out, ready)] if ordered else []
+            before = loose[0]
+            for part in loose[1:]:
+                before = before.unionAll(part)
+            total = sure + now
+            was, n = before.agg(F.count_if(F.col("offset") == 0), F.count(F.lit(1))).head()
+            sure = total - was
+        else:
+            out.append(ready)
+            break
         left = before.select(*names)
-        if before.isEmpty():
-            return out
-    return out
+    for part in out:
+        full = full.unionAll(part.select(*full.columns))
+    return full
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, group: int = GROUP, rounds: int = ROUNDS, weights: Mapping[str, int] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, group: int = GROUP, merged: int = MERGED, weights: Mapping[str, int] | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. With weights by source (see ``mixing``) sequences follow the mixture, by sequence_id."""
     rows = pieces(docs, tokenizer, size, bool(weights))
-    return pack(placed(rows, weights) if weights else rows, size, group, rounds)
+    return pack(placed(rows, weights) if weights else rows, size, group, merged)

@@ -156,5 +156,5 @@ def test_pipeline_sequences_follow_weights(spark, tmp_path, monkeypatch):
         first = got[got["length"].cumsum() <= got["length"].sum() // 12]
         return first.loc[first["doc_id"].map(source) == "b", "length"].sum() / first["length"].sum()
 
-    monkeypatch.setattr(packing.pack_documents, "__defaults__", (packing.SIZE, 64, packing.ROUNDS, None))
+    monkeypatch.setattr(packing.pack_documents, "__defaults__", (packing.SIZE, 64, packing.MERGED, None))
     assert abs(early(1, 1) - 1 / 2) < 0.1 and abs(early(3, 1) - 1 / 4) < 0.1 and abs(early(1, 3) - 3 / 4) < 0.1
