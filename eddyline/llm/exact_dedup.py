@@ -1,15 +1,17 @@
 """Exact de-duplication by two-pass Bloom filtering.
 
-Pass 1 reads every text once and stores (doc_id, digest). Each task folds its
-digests into sparse partial filters, one row per filter segment; the segment's
-owner replays the partials into a Bloom filter, and what hits a full set of bits
-may be repeated. Those few go into a second, right-sized filter.
-Pass 2 probes that filter: rows outside it are unique and pass straight through;
-only the possible repeats shuffle, on their full SHA-256.
-
-Texts are equal when identical after lower-casing A-Z only; null counts as empty.
-The largest doc_id of a group stays (null is the smallest); of repeated rows with
-that doc_id one stays. Empty tables give empty results. Other columns don't matter.
+Pass 1 reads every text once and stores slim rows: doc_id, a key of the text, and the SHA-256 of
+the normalised text. Each task then sorts the places of all its digests in a Bloom filter
+of one probe and BITS bits a row, and sends them coded by their differences, some two bytes a
+row, to the owners of the filter's parts. What an owner gets twice may be repeated; these
+places make up the second, right-sized filter of several probes.
+Pass 2 probes that filter, in one pass over the slim rows whatever its size: rows outside it
+are unique and pass straight through; only the possible repeats shuffle, on their full SHA-256.
+
+Texts are equal when identical after lower-casing A-Z only; null counts as empty; texts of
+any length are whole. The largest doc_id of a group stays (null is the smallest); of repeated
+rows with that doc_id one stays. An empty table gives an empty result. Columns other than
+doc_id and text don't matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain, row_schema, whole_row, written
+from .common import KeyFilter, cut, mix, partitions, plain, tidy, whole_row, written
 
-#: Digests for one segment of the first filter, and bits for each.
-SEGMENT, BITS, PROBES = 32_768, 16, 4
-#: The second filter is broadcast in parts of at most so many bytes; each part has its own pass over the digests.
+#: Bits of the first filter for each row, and rows for one of its parts.
+BITS, PART = 64, 1_000_000
+#: The second filter: bits and probes of each place.
+SECOND_BITS, PROBES = 16, 4
+#: The second filter is broadcast in pieces of at most so many bytes; a task holds one piece at a time.
 FILTER_BYTES = 32 << 20
+#: Digests whose places a task sends, or probes, at a time.
+ROWS = 1_000_000
 
 
 def _digests(texts: pa.Array) -> list[bytes]:
@@ -36,14 +42,23 @@ def _digests(texts: pa.Array) -> list[bytes]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the normalised text, for every row."""
+    """doc_id, text_key (with doc_id it tells a row's copies) and the SHA-256 of the normalised text, for every row.
+
+    Hashing is done in Python on purpose: no JVM function lower-cases A-Z only but ``translate``, which looks up each character.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_digests(part.column("text")), pa.binary())], ["doc_id", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(_digests(part.column("text")), pa.binary())], ["doc_id", "text_key", "digest"])
+        tidy()
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, digest binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary")
+def _keyed(docs: DataFrame, *more: F.Column) -> DataFrame:
+    text = docs["text"].cast("string")
+    return docs.select(*more, docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -52,135 +67,140 @@ def _keys(column: pa.Array) -> np.ndarray:
     return np.frombuffer(flat, "<u8").reshape(-1, 4)
 
 
-def _probes(h: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES places for each of the 64-bit hashes."""
+def coded(values: np.ndarray) -> bytes:
+    """Rising whole numbers by their differences, in groups of seven bits, the last of each marked."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    size = np.ones(len(steps), np.int64)
+    for k in range(1, 9):
+        size += steps >= 1 << 7 * k
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(9):
+        on = size > k
+        out[ends[on] - size[on] + k] = (steps[on] >> 7 * k) & 127
+    out[ends - 1] |= 128
+    return out.tobytes()
+
+
+def decoded(stored: bytes) -> np.ndarray:
+    raw = np.frombuffer(stored, np.uint8)
+    ends = np.flatnonzero(raw & 128)
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    owner = np.repeat(np.arange(len(ends)), ends - starts + 1)
+    steps = np.zeros(len(ends), np.int64)
+    np.add.at(steps, owner, (raw & 127).astype(np.int64) << 7 * (np.arange(len(raw)) - starts[owner]))
+    return np.cumsum(steps)
+
+
+def _probes(places: np.ndarray, bits: int) -> np.ndarray:
+    """PROBES bits of the second filter for each place of the first."""
+    h = mix(places.astype(np.uint64))
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(PROBES)], 1).astype(np.int64)
 
 
-def _filter(h: np.ndarray) -> bytes:
-    bits = np.zeros(max(64, -(-len(h) * BITS // 8) * 8), np.uint8)
-    bits[_probes(h, len(bits)).ravel()] = 1
+def _filter(places: np.ndarray) -> bytes:
+    bits = np.zeros(max(64, -(-len(places) * SECOND_BITS // 8) * 8), np.uint8)
+    bits[_probes(places, len(bits)).ravel()] = 1
     return np.packbits(bits).tobytes()
 
 
-def _inside(h: np.ndarray, stored: bytes) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(stored, np.uint8))
-    return bits[_probes(h, len(bits))].all(1)
-
-
-class RepeatFilter:
-    """The second filter: by segment, the bits of digests that may be repeated."""
-
-    def __init__(self, slim: DataFrame):
-        self.spark = slim.sparkSession
-        n = slim.count()
-        self.segments = segments = max(1, -(-n // SEGMENT))
-
-        def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = _keys(batch.column("digest"))
-                h, counts = np.unique(keys[:, 0], return_counts=True)
-                seg = h % np.uint64(segments)
-                order = np.argsort(seg, kind="stable")
-                h, twice, seg = h[order], counts[order] > 1, seg[order].astype(np.int64)
-                starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-                ends = np.r_[starts[1:], len(seg)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(seg[starts]),
-                        pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                        pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
-                    ["segment", "hashes", "twice"],
-                )
-
-        def merge(table: pa.Table) -> pa.Table:
-            seen, maybe = np.zeros(2 * SEGMENT * BITS, bool), []
-            for part, twice in zip(table.column("hashes").to_pylist(), table.column("twice").to_pylist(), strict=True):
-                h = np.frombuffer(part, np.uint64)
-                places = _probes(h, len(seen))
-                maybe.append(h[seen[places].all(1) | np.unpackbits(np.frombuffer(twice, np.uint8), count=len(h)).astype(bool)])
-                seen[places.ravel()] = True
-            found = np.unique(np.concatenate(maybe)) if maybe else np.zeros(0, np.uint64)
-            return pa.table({"segment": table.column("segment").slice(0, 1).cast(pa.int64()), "bits": pa.array([_filter(found)], pa.binary())})
-
-        grouped = slim.select("digest").mapInArrow(partials, "segment long, hashes binary, twice binary").groupBy("segment")
-        self.table = written(grouped.applyInArrow(merge, "segment long, bits binary"), "repeats")
-        size = self.table.agg(F.sum(F.length("bits"))).head()[0] or 0
-        self.passes = max(1, -(-size // FILTER_BYTES))
-
-    def split(self, rows: DataFrame, column: str = "digest") -> tuple[DataFrame, DataFrame]:
-        """(certainly unique, possibly repeated) rows, by their digest; neither is shuffled."""
-        return self._rows(rows, column, False), self._rows(rows, column, True)
-
-    def _rows(self, rows: DataFrame, column: str, wanted: bool) -> DataFrame:
-        out, segments, passes = None, self.segments, self.passes
-        for k in range(passes):
-            # at most FILTER_BYTES reach the driver and each executor
-            held = self.spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.table.where(F.col("segment") % passes == k).collect()})
-
-            def run(batches: Iterator[pa.RecordBatch], held=held, k=k) -> Iterator[pa.RecordBatch]:
-                filters = held.value
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    h = _keys(batch.column(column))[:, 0]
-                    seg = (h % np.uint64(segments)).astype(np.int64)
-                    order = np.argsort(seg, kind="stable")
-                    maybe, mine = np.zeros(len(h), bool), seg % passes == k
-                    bounds = np.flatnonzero(np.r_[True, np.diff(seg[order]) != 0, True])
-                    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                        at = order[a:b]
-                        if mine[at[0]]:
-                            maybe[at] = _inside(h[at], filters[int(seg[at[0]])])
-                    yield batch.filter(pa.array(mine & (maybe == wanted)))
-
-            part = rows.mapInArrow(run, rows.schema)
-            out = part if out is None else out.unionAll(part)
-        return out
-
-
-def _groups(maybe: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows by (digest, doc_id) with their number, and groups by digest. Both are written, so that a join of them can be split where a group is large."""
-    rows = written(maybe.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")), "maybe")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return rows, written(groups, "groups")
+def _inside(places: np.ndarray, stored: bytes) -> np.ndarray:
+    raw = np.frombuffer(stored, np.uint8)
+    at = _probes(places, 8 * len(raw))
+    return ((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A task's batches as tables of about ROWS rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def flagged(slim: DataFrame) -> DataFrame:
+    """Slim rows with ``maybe``: false where the digest certainly occurs once. Written, so both kinds are read from one table."""
+    spark, n = slim.sparkSession, slim.count()
+    parts = max(partitions(spark), -(-n // PART))
+    width = max(64, -(-n // parts) * BITS)
+
+    def place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys[:, 0] % np.uint64(parts)).astype(np.int64), (keys[:, 1] % np.uint64(width)).astype(np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            part, at = place(_keys(table.column("digest").combine_chunks()))
+            order = np.lexsort((at, part))
+            part, at = part[order], at[order]
+            # Twice says as much as more often.
+            third = np.zeros(len(at), bool)
+            third[2:] = (part[2:] == part[:-2]) & (at[2:] == at[:-2])
+            part, at = part[~third], at[~third]
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array([coded(at[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "places"])
+        tidy()
+
+    def own(table: pa.Table) -> pa.Table:
+        at = np.sort(np.concatenate([decoded(x) for x in table.column("places").to_pylist()]))
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_filter(np.unique(at[1:][at[1:] == at[:-1]]))], pa.binary())})
+
+    second = written(slim.select("digest").mapInArrow(send, "part long, places binary").groupBy("part").applyInArrow(own, "part long, bits binary"), "repeats")
+    size = second.agg(F.sum(F.length("bits"))).head()[0] or 0
+    pieces = max(1, -(-size // FILTER_BYTES))
+    # At most FILTER_BYTES (and a part) reach the driver at once; executors keep the pieces on disk.
+    held = [spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in second.where(F.col("part") % pieces == k).collect()}) for k in range(pieces)]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            part, at = place(_keys(table.column("digest").combine_chunks()))
+            order, maybe = np.argsort(part, kind="stable"), np.zeros(len(part), bool)
+            edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+            for k in range(pieces):
+                filters = held[k].value
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    rows = order[a:b]
+                    if part[rows[0]] % pieces == k:
+                        maybe[rows] = _inside(at[rows], filters[int(part[rows[0]])])
+                if pieces > 1:
+                    held[k].__dict__.pop("_value", None)  # read again from disk when it is needed again
+            yield from table.append_column("maybe", pa.array(maybe)).to_batches()
+        tidy()
+
+    return written(slim.mapInArrow(probe, "doc_id long, text_key long, digest binary, maybe boolean"), "flagged")
+
+
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Possible repeats by (digest, doc_id, text_key) with their number, and groups by digest. Both are written, so that a join of them can be split where a group is large."""
+    own = written(rows.where("maybe").groupBy("digest", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "maybe")
+    groups = own.groupBy("digest").agg(F.max(F.struct("doc_id", "text_key")).alias("keep"), F.sum("n").alias("group_size"))
+    return own, written(groups, "groups")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    slim = written(digests(docs), "digests")
-    unique, maybe = RepeatFilter(slim).split(slim)
-    rows, groups = _groups(maybe)
-    repeated = rows.join(groups, "digest").select(
-        "doc_id", "keep_id", "group_size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")
-    )
-    shape = lambda df, kept: df.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    alone = unique.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
-    return shape(alone, F.lit(True)).unionAll(shape(repeated, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)))
+    rows = flagged(written(digests(docs), "digests"))
+    own, groups = _groups(rows)
+    repeated = own.join(groups, "digest").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    stays = F.struct("doc_id", "text_key").eqNullSafe(F.col("keep")) & (F.col("i") == 1)
+    shape = lambda df, keep_id, size, kept: df.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    alone = shape(rows.where(~F.col("maybe")), F.col("doc_id"), F.lit(1).cast("long"), F.lit(True))
+    return alone.unionAll(shape(repeated, F.col("keep")["doc_id"], F.col("group_size"), stays))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Texts of unique documents are never shuffled."""
-    schema = docs.schema
-    slim = written(digests(docs), "digests")
-    repeats = RepeatFilter(slim)
-    packed = docs.select(whole_row(), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cut(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(_digests(part.column("text")), pa.binary())], ["row", "doc_id", "digest"])
-
-    flagged = packed.mapInArrow(add, row_schema(packed, ("doc_id", "long"), ("digest", "binary")))
-    unique, maybe = repeats.split(flagged)
-    _, groups = _groups(repeats.split(slim)[1])
-    kept = groups.select("digest", F.col("keep_id"))
-    chosen = (
-        maybe.join(kept, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest", "doc_id"])
-    )
-    out = unique.select("row").unionAll(chosen.select("row")).select("row.*")
-    return out.sparkSession.createDataFrame([], schema).unionAll(out) if out.schema != schema else out
+    """The documents that stay, with all their columns. Only texts of documents that go, or have copies with their own doc_id, are shuffled."""
+    own, groups = _groups(flagged(written(digests(docs), "digests")))
+    decided = own.join(groups, "digest").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"), F.struct("doc_id", "text_key").eqNullSafe(F.col("keep")).alias("__stays"), "n")
+    acts = written(decided.where("not __stays or n > 1"), "acts")
+    known, packed = KeyFilter(acts.select(F.col("__text").alias("text_key")), "text_key"), _keyed(docs, whole_row()).drop("text")
+    met = known.inside(packed).join(acts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__text")), "left")
+    # Of copies with their own doc_id too one stays.
+    once = met.where("__stays").dropDuplicates(["doc_id", "text_key"])
+    out = known.outside(packed).select("row").unionAll(met.where("__stays is null").select("row")).unionAll(once.select("row")).select("row.*")
+    return out.sparkSession.createDataFrame([], docs.schema).unionAll(out) if out.schema != docs.schema else out

@@ -25,11 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import whole_row, written
+from .common import partitions, whole_row, written
 
 BLOCK = 16
-#: Rows in a bucket when ranking; many buckets share a source.
-BUCKET = 256
 REST = ""
 
 
@@ -82,53 +80,57 @@ def rank_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def _ranked(docs: DataFrame, columns: list[Column], weights: Mapping[str, int], key: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows with stream (the weight that they share) and bucket, and each bucket's rank offset."""
+def _stream(weights: Mapping[str, int]) -> Column:
+    """The weight that a row's source shares."""
     named = [s for s in weights if s != REST]
     source = F.col("source").cast("string")
-    stream = F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST)
-    n = docs.count()
-    rows = docs.select(*columns, F.col("doc_id").cast("long").alias("__doc"), source.alias("__source"), stream.alias("__stream"), key.alias("__key"))
-    return rows.withColumn("__bucket", F.pmod(F.col("__key"), F.lit(max(1, n // BUCKET)))), n
+    return F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST)
+
+
+def _placed(rows: DataFrame, plan: DataFrame, block: Column) -> DataFrame:
+    """Rows with the part of the plan that holds for their ``block``. The plan has at most (number of weights) x (sum of weights) x phases rows, whatever the input."""
+    m = block - F.col("first")
+    return rows.join(F.broadcast(plan), (F.col("__stream") == F.col("__s")) & (block >= F.col("first")) & (block < F.col("end")) & (m % F.col("weight") == F.col("k"))).withColumn("__base", F.col("at") + F.floor(m / F.col("weight")).cast("long") * F.col("period"))
 
 
 def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, keep: bool = False, key: str | None = None) -> DataFrame:
     """Every document's place in the mixture: doc_id, source, stream, block, slot, release, deadline, position; with ``keep`` also all columns, as ``row``.
 
+    A document's key is a fair hash, so its share of all keys tells about where it will stand: rows are dealt out by that, once,
+    and the exact ranks follow from counts of what lies before each partition. Partitions are stretches of the mixture, in order.
+
     weights: whole numbers by source; that of REST holds for all other sources. key: the column that holds ``rank_key``, where the text is no longer there.
     """
     if REST not in weights or min(weights.values()) < 1:
         raise ValueError("weights are whole numbers from 1, one of them for REST")
-    columns = [whole_row()] if keep else []
-    rows, _ = _ranked(docs, columns, weights, F.col(key) if key else rank_key())
-    if not keep:
-        rows = written(rows, "ranks")
-    counts = written(rows.groupBy("__stream", "__bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
-    before = F.sum("n").over(Window.partitionBy("__stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__stream", "__bucket", F.coalesce(before, F.lit(0)).alias("__offset"))
-    totals = {r[0]: r[1] for r in counts.groupBy("__stream").agg(F.sum("n")).collect()}  # one row a weight at most
-    plan = phases({s: -(-n // block) for s, n in totals.items()}, weights)
-    table = docs.sparkSession.createDataFrame(
-        [(s, a, b, at, w, p, k, slot, r, d) for s, a, b, at, w, p, own in plan for k, (slot, r, d) in enumerate(own)],
-        "__stream string, first long, end long, at long, weight long, period long, k long, in_period long, r long, d long",
+    spark = docs.sparkSession
+    rows = docs.select(*([whole_row()] if keep else []), F.col("doc_id").cast("long").alias("__doc"), F.col("source").cast("string").alias("__source"), _stream(weights).alias("__stream"), (F.col(key) if key else rank_key()).alias("__key"))
+    totals = {r[0]: r[1] for r in docs.select(_stream(weights).alias("s")).groupBy("s").count().collect()}  # one row a weight at most
+    phases_ = phases({s: -(-n // block) for s, n in totals.items()}, weights)
+    plan = spark.createDataFrame(
+        [(s, a, b, at, w, p, k, slot, r, d) for s, a, b, at, w, p, own in phases_ for k, (slot, r, d) in enumerate(own)],
+        "__s string, first long, end long, at long, weight long, period long, k long, in_period long, r long, d long",
     )
-    rank = F.row_number().over(Window.partitionBy("__stream", "__bucket").orderBy("__key", "__doc"))
-    ranked = rows.withColumn("__n", rank).join(offsets, ["__stream", "__bucket"]).withColumn("__rank", F.col("__offset") + F.col("__n") - 1)
-    ranked = ranked.withColumn("block", F.expr(f"__rank div {block}"))
-    # A phase is found by a range of blocks; the plan has at most (number of weights) x (sum of weights) x phases rows, whatever the input.
-    m = F.col("block") - F.col("first")
-    placed = ranked.join(F.broadcast(table), (ranked["__stream"] == table["__stream"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")) & (m % F.col("weight") == F.col("k"))).drop(table["__stream"])
-    base = F.col("at") + F.expr("((block - first) div weight) * period")
-    slot = base + F.col("in_period")
-    return placed.select(
-        *(["row"] if keep else []), F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__stream").alias("stream"), F.col("block"), slot.alias("slot"), (base + F.col("r")).alias("release"), (base + F.col("d")).alias("deadline"),
+    parts, slots = partitions(spark), max(1, sum(-(-n // block) for n in totals.values()))
+    size = F.element_at(F.create_map(*(F.lit(x) for pair in totals.items() for x in pair)), F.col("__stream")) if totals else F.lit(1)
+    share = F.col("__key") / F.lit(2.0**64) + F.lit(0.5)
+    about = F.least(F.floor(share * size), size - 1).cast("long")
+    rows = _placed(rows, plan, F.floor(about / block).cast("long"))
+    rows = rows.withColumn("__part", F.floor((F.col("__base") + F.col("in_period")) * parts / slots).cast("int")).drop(*plan.columns, "__base")
+    # As many rows as streams and partitions.
+    counts = rows.groupBy("__stream", "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__stream").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = written(counts.select(F.col("__stream").alias("__os"), F.col("__part").alias("__op"), F.coalesce(before, F.lit(0)).alias("__offset")), "offsets")
+    rank = F.row_number().over(Window.partitionBy("__part", "__stream").orderBy("__key", "__doc"))
+    ranked = rows.repartitionById(parts, F.col("__part")).withColumn("__n", rank).join(F.broadcast(offsets), (F.col("__stream") == F.col("__os")) & (F.col("__part") == F.col("__op")))
+    ranked = ranked.withColumn("__rank", F.col("__offset") + F.col("__n") - 1).withColumn("block", F.floor(F.col("__rank") / block).cast("long"))
+    slot = F.col("__base") + F.col("in_period")
+    return _placed(ranked, plan, F.col("block")).select(
+        *(["row"] if keep else []), F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__stream").alias("stream"), F.col("block"), slot.alias("slot"), (F.col("__base") + F.col("r")).alias("release"), (F.col("__base") + F.col("d")).alias("deadline"),
         (slot * block + F.col("__rank") % block).alias("position"),
     )
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK) -> DataFrame:
-    """All documents, with their columns, in the order of the mixture: range-partitioned and sorted by position."""
-    spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    out = schedule(docs, weights, block, keep=True).select("row", "position").repartitionByRange(n, "position").sortWithinPartitions("position")
-    return out.select("row.*")
+    """All documents, with their columns, each partition a sorted stretch of the mixture. Texts move once."""
+    return schedule(docs, weights, block, keep=True).sortWithinPartitions("position").select("row.*")

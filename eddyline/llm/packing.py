@@ -8,12 +8,12 @@ sequence. That one, and all unfilled sequences of the groups with a gap, are exc
 their pieces are dealt anew, over fewer and larger groups, and packed again. This ends
 when all sequences together meet the bound over all pieces, or when one group (or groups
 of MERGED pieces) saved nothing. If the bound over all pieces isn't met by then, the
-closed groups are opened once more and take part as well (with weights, see below, only
-their unfilled sequences).
+closed groups are opened once more and take part as well.
 
 With weights, groups are stretches of the mixture (see ``mixing``): each document's
 position is worked out from its source, doc_id and text, so no order of rows or files
-matters. A sequence's id rises with the position of its first piece.
+matters. A sequence's id rises with the position of its first piece. Groups then stay as small
+as they are, so that pieces stay near their place; only what is exchanged travels.
 
 Defined cases: null or empty text is one piece of one id; repeated rows are packed
 each for itself; an empty table gives an empty result; other columns don't matter.
@@ -240,6 +240,7 @@ def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, merged: int = ME
     counts.pop(size, None)
     bound, n = lower_bound(list(counts.items()), size), sum(counts.values())
     out: list[DataFrame] = []  # closed groups: all but what moves on
+    merged = group if ordered else merged
     left, before, was, sure, opened, k, numbered = rows.where(F.col("length") < size), None, 0, 0, False, 0, 0
     while n:
         per = merged if opened else min(merged, group << 3 * k)
@@ -259,17 +260,11 @@ def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP, merged: int = ME
             sure, before, was, n = sure + now - moved, ready.where("moves"), moved, pieces_moved
         elif sure + now > bound and groups > 1 and per < merged:
             before, was = ready, now  # as they are, into larger groups
-        elif sure + now > bound and out and not opened:
-            opened = True
-            # Filled sequences stay only where pieces shouldn't leave their stretch of the mixture.
-            loose = [part.where("free > 0") if ordered else part for part in (*out, ready)]
-            out = [part.where("free = 0") for part in (*out, ready)] if ordered else []
-            before = loose[0]
-            for part in loose[1:]:
+        elif sure + now > bound and out and not opened and not ordered:
+            opened, before = True, ready
+            for part in out:
                 before = before.unionAll(part)
-            total = sure + now
-            was, n = before.agg(F.count_if(F.col("offset") == 0), F.count(F.lit(1))).head()
-            sure = total - was
+            was, n, sure, out = sure + now, sum(counts.values()), 0, []
         else:
             out.append(ready)
             break

@@ -327,28 +327,30 @@ def _accepted(text: Column, model: tuple, kind: str) -> Column:
 
 
 def _resolved(base: Column, candidates: Column) -> Column:
-    """Candidates that overlap no base span and no better candidate: one sweep over both, by start."""
+    """Candidates that overlap no base span and no better candidate: a sweep backwards for base spans that start later, and one forwards for the rest."""
     fixed = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("double").alias("score"), b["kind"].alias("kind"), b["value"].alias("value")))
     # By start; base spans first, then the longer.
     keyed = F.transform(F.concat(fixed, candidates), lambda c: F.struct(c["start"].alias("start"), c["score"].isNotNull().alias("added"), (-c["end"]).alias("end"), c.alias("c")))
-    none = F.lit(None).cast(_CANDIDATE)
-    zero = F.struct(F.lit(0).alias("base"), none.alias("best"))
+    kind = f"struct<start:int,added:boolean,end:int,c:{_CANDIDATE}>"
+    empty, none = F.array().cast(f"array<{_CANDIDATE}>"), F.lit(None).cast(_CANDIDATE)
 
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
+    def clear(following: Column, x: Column) -> tuple[Column, Column]:
+        kept = ~x["added"] | (-x["end"] <= following)
+        return F.when(x["added"], following).otherwise(x["start"]), F.when(kept, F.array(x)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def choose(s: Column, x: Column) -> tuple[Column, Column]:
         c, best = x["c"], s["best"]
+        blocked = x["added"] & (c["start"] < s["base"])
         meets = F.coalesce(c["start"] < best["end"], F.lit(False))
-        empty = F.array().cast(f"array<{_CANDIDATE}>")
-        ready = F.when(best.isNotNull() & ~meets, F.array(best)).otherwise(empty)
-        blocked = c["start"] < s["base"]
-        after_base = F.struct(F.greatest(s["base"], c["end"]).alias("base"), none.alias("best"))
-        after_candidate = F.when(blocked, s).when(meets & (best["score"] >= c["score"]), s).otherwise(F.struct(s["base"].alias("base"), c.alias("best")))
-        following = F.when(~x["added"], after_base).otherwise(after_candidate)
-        made = F.when(x["added"] & blocked, empty).otherwise(ready)
-        return following, made
-
-    end = lambda s: F.when(s["best"].isNotNull(), F.array(s["best"])).otherwise(F.array().cast(f"array<{_CANDIDATE}>"))
-    found = _folded(F.sort_array(keyed), zero, step, end, _CANDIDATE)
-    return F.when(F.size(candidates) > 0, found).otherwise(F.array().cast(f"array<{_CANDIDATE}>"))
+        stays = blocked | (meets & (best["score"] >= c["score"]))
+        own = F.when(stays, s).otherwise(F.struct(s["base"].alias("base"), c.alias("best")))
+        following = F.when(x["added"], own).otherwise(F.struct(F.greatest(s["base"], c["end"]).alias("base"), best.alias("best")))
+        return following, F.when(x["added"] & ~stays & ~meets & best.isNotNull(), F.array(best)).otherwise(empty)
+
+    end = lambda s: F.when(s["best"].isNotNull(), F.array(s["best"])).otherwise(empty)
+    backwards = _folded(F.reverse(F.sort_array(keyed)), F.lit(2**31 - 1), clear, None, kind)
+    found = _folded(F.reverse(backwards), F.struct(F.lit(0).alias("base"), none.alias("best")), choose, end, _CANDIDATE)
+    return F.when(F.size(candidates) > 0, found).otherwise(empty)
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ its work stays in one task; tables of streams split freely.
 Defined cases: null or empty bytes are a stream without packets; bytes without
 sync are counted as lost; packets after a gap belong to no elementary packet until
 the next start, and the cut-off one is marked damaged; a repeated packet counts once.
+Tables that are not in force yet change nothing; a new version of a table replaces what the
+old one said, and a program that it leaves out takes its streams along. Texts of any length are
+whole (null: empty), repeated rows get equal results, an empty table gives an empty result;
+columns other than those named to an operator don't matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ class Elementary:
     stream_id: int = 0
     damaged: bool = False
     data: bytes = b""
+    program: int | None = None
+    stream_type: int | None = None
 
 
 @dataclass
@@ -154,19 +160,20 @@ def _elementary(pid: int, index: int, offset: int, entry: bool, data: bytes, dam
 
 @functools.lru_cache(4096)
 def _read_section(section: bytes) -> tuple | None:
-    """(table, number, entries) of a section whose CRC is right: (program, PID) or (PID, type)."""
+    """(table, number, version, entries) of a section whose CRC is right: (program, PID) or (PID, type). The version is -1 where the table is not in force yet."""
     if len(section) < 12 or section_crc(section):
         return None
     table, number, body = section[0], section[3] << 8 | section[4], section[8:-4]
+    version = section[5] >> 1 & 31 if section[5] & 1 else -1
     if table == 0:
-        return 0, number, tuple((body[i] << 8 | body[i + 1], (body[i + 2] & 31) << 8 | body[i + 3]) for i in range(0, len(body) - 3, 4))
+        return 0, number, version, tuple((body[i] << 8 | body[i + 1], (body[i + 2] & 31) << 8 | body[i + 3]) for i in range(0, len(body) - 3, 4))
     if table == 2 and len(body) >= 4:
         out, i = [], 4 + ((body[2] & 15) << 8 | body[3])
         while i + 5 <= len(body):
             out.append(((body[i + 1] & 31) << 8 | body[i + 2], body[i]))
             i += 5 + ((body[i + 3] & 15) << 8 | body[i + 4])
-        return 2, number, tuple(out)
-    return table, number, ()
+        return 2, number, version, tuple(out)
+    return table, number, version, ()
 
 
 def demux(data: bytes) -> Transport:
@@ -175,13 +182,15 @@ def demux(data: bytes) -> Transport:
     previous: dict[int, bytes] = {}
     sections: dict[int, bytearray] = {}
     gathered: dict[int, list] = {}  # PID: [offset, entry point, parts]
-    maps: set[int] = set()
+    versions: dict[int, int] = {}  # of the association table under 0, of maps under their program
     end, at = len(data), 0
 
     def close(pid: int, damaged: bool = False) -> None:
         own = gathered.pop(pid, None)
         if own:
-            t.units.append(_elementary(pid, len(t.units), own[0], own[1], b"".join(own[2]), damaged))
+            unit = _elementary(pid, len(t.units), own[0], own[1], b"".join(own[2]), damaged)
+            unit.program, unit.stream_type = t.streams.get(pid, (None, None))
+            t.units.append(unit)
 
     def tables(pid: int, payload: bytes, start: bool) -> None:
         if start and payload:
@@ -204,14 +213,22 @@ def demux(data: bytes) -> Transport:
             del held[:n]
             if got is None:
                 t.table_errors += 1
+            elif got[2] < 0:
+                continue  # it holds from a later version on
             elif got[0] == 0 and pid == 0:
-                for number, map_pid in got[2]:
-                    if number:
-                        t.programs[number] = map_pid
-                        maps.add(map_pid)
-            elif got[0] == 2:
-                for stream, kind in got[2]:
-                    t.streams[stream] = (got[1], kind)
+                if versions.get(0) != got[2]:  # a new version says anew which programs there are
+                    versions.clear()
+                    versions[0] = got[2]
+                    t.programs.clear()
+                t.programs.update({number: map_pid for number, map_pid in got[3] if number})
+                for stream in [x for x, (number, _) in t.streams.items() if number not in t.programs]:
+                    del t.streams[stream]
+            elif got[0] == 2 and t.programs.get(got[1]) == pid:
+                if versions.get(got[1]) != got[2]:
+                    versions[got[1]] = got[2]
+                    for stream in [x for x, (number, _) in t.streams.items() if number == got[1]]:
+                        del t.streams[stream]
+                t.streams.update({stream: (got[1], kind) for stream, kind in got[3]})
         if held and held[0] == 0xFF:
             del sections[pid]
 
@@ -258,7 +275,7 @@ def demux(data: bytes) -> Transport:
         counters[pid] = counter
         previous[pid] = data[offset:at]
         payload = data[body:at]
-        if pid == 0 or pid in maps:
+        if pid == 0 or pid in t.programs.values():
             tables(pid, payload, bool(b1 & 0x40))
         elif b1 & 0x40:
             close(pid)
@@ -296,8 +313,7 @@ def parse_streams(df: DataFrame, column: str, key: str) -> DataFrame:
                 for k, data in zip(part.column("key").to_pylist(), part.column("media").to_pylist(), strict=True):
                     t = demux(data or b"")
                     for u in t.units:
-                        program, kind = t.streams.get(u.pid, (None, None))
-                        rows.append((k, program, u.pid, kind, u.index, u.offset, u.pts, u.dts, u.random_access, u.damaged, u.data))
+                        rows.append((k, u.program, u.pid, u.stream_type, u.index, u.offset, u.pts, u.dts, u.random_access, u.damaged, u.data))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)], schema=shape)
 
     from pyspark.sql.pandas.types import to_arrow_schema
