@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from eddyline.operators.graph import connected_components
 
-from .common import Words, cut, grams, mix, partitions, powers, tidy, written
+from .common import KeyFilter, Words, cut, grams, mix, partitions, powers, tidy, whole_row, written
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union.
@@ -51,8 +51,10 @@ LOOKS, BEFORE = 3, 32
 TILE_ROWS, LOT, BLOCK = 400_000, 8_000, 1024
 #: Where links are counted: sets in one block of a component, bytes of sets in one lot, and shingles in one matrix product.
 MEMBERS, LOT_BYTES, COLUMNS = 128, 8 << 20, 4096
-#: Ids of texts to be read again that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Entries of one shingle that one task may get; those of more frequent ones are dealt out by class.
+HEAVY = 200_000
+#: Sets that a worker knows to be joined, at most; then it forgets, and only compares some of them again.
+JOINED = 500_000
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +149,7 @@ def _least(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out.ravel().view(np.int64)))
 
 
-def _slim(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    counts = _sketch(texts, n)
+def _slim(texts: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     mean = counts.mean()
     # What stands out from the counters' own spread is frequent.
     level = texts.sparkSession.sparkContext.broadcast(np.ceil(np.log2(1 + np.maximum(0, counts - mean - 4 * np.sqrt(mean) - 1))).astype(np.uint8))
@@ -177,7 +178,12 @@ def _slim(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, _SLIM)
 
 
-def _tiles(classes: DataFrame, percent: int) -> DataFrame:
+def _parts(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """In how many parts the entries of shingles come: 1 but for those that the sketch has as frequent."""
+    return heavy[(h >> np.uint64(44)).astype(np.int64)].astype(np.int64) + 1
+
+
+def _tiles(classes: DataFrame, percent: int, held) -> DataFrame:
     """Prefix entries by group of tiles, packed: shingles, classes and sizes (negative where only the larger of a pair shows the entry)."""
     total = classes.agg(F.sum(F.length("prefix"))).head()[0] or 0
     groups = max(1, -(-total // (8 * TILE_ROWS)))
@@ -193,9 +199,11 @@ def _tiles(classes: DataFrame, percent: int) -> DataFrame:
             place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
             short = np.array([prefix_lengths(int(s), percent)[1] for s in sizes])
             size = np.where(place < short[owner], sizes[owner], -sizes[owner]).astype(np.int32)
-            group = (mix(h) % np.uint64(groups)).astype(np.int64)
+            parts, own = _parts(h, held.value), np.asarray(batch.column("class"))[owner]
+            salt = np.where(parts > 1, (mix(own.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0)
+            group = ((mix(h) + mix(salt.astype(np.uint64)) * (salt > 0)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            h, ids, size, group = h[order], np.asarray(batch.column("class"))[owner[order]], size[order], group[order]
+            h, ids, size, group = h[order], own[order], size[order], group[order]
             at = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
             spans = list(zip(at[:-1], at[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +217,7 @@ def _neighbours(percent: int):
     """Links of sorted (look, least, class, set): each set is held against the last BEFORE with the same least shingle that aren't joined to it already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        parent: dict[int, int] = {}  # of sets met so far
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -224,6 +232,8 @@ def _neighbours(percent: int):
                 if (look, least) != key:
                     key = look, least
                     held.clear()
+                    if len(parent) > JOINED:
+                        parent.clear()
                 values = np.frombuffer(stored, np.uint64)
                 for other, theirs in held:
                     na, nb = len(values), len(theirs)
@@ -240,15 +250,19 @@ def _neighbours(percent: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """From a lot of shingles: the entries of those that two sets or more show, where the smaller of some pair does."""
-    h, ids, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("hashes", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
-    order = np.argsort(h, kind="stable")
-    h, ids, size = h[order], ids[order], size[order]
-    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    counts = np.diff(np.r_[at, len(h)])
-    keep = np.repeat((counts > 1) & (np.add.reduceat(size > 0, at) > 0), counts)
-    return pa.table({"h": pa.array(h[keep].view(np.int64)), "class": pa.array(ids[keep]), "size": pa.array(size[keep])})
+def _shared(held):
+    """From a lot of shingles: the entries of those that two sets or more show, where the smaller of some pair does. Of frequent ones a lot has a part: all stay."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, ids, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("hashes", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
+        order = np.argsort(h, kind="stable")
+        h, ids, size = h[order], ids[order], size[order]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        counts = np.diff(np.r_[at, len(h)])
+        keep = np.repeat((counts > 1) & (np.add.reduceat(size > 0, at) > 0) | (_parts(h[at], held.value) > 1), counts)
+        return pa.table({"h": pa.array(h[keep].view(np.int64)), "class": pa.array(ids[keep]), "size": pa.array(size[keep])})
+
+    return run
 
 
 def _folded(bits: list[bytes], width: int) -> np.ndarray:
@@ -391,10 +405,8 @@ def _linked(percent: int):
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The sorted arrays of some classes, read from one text of each."""
-    count = wanted.count()
-    keys = wanted.select("text_key")
-    texts = texts.select("text", F.xxhash64("text").alias("text_key")).join(F.broadcast(keys) if count <= BROADCAST_IDS else keys, "text_key", "left_semi")
+    """The sorted arrays of some classes, read from one text of each. Texts aren't shuffled, sets are."""
+    texts = KeyFilter(wanted, "text_key").inside(texts.select("text", F.xxhash64("text").alias("text_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,7 +431,9 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, pe
 def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their class, classes, pairs of classes that link, enough of them to join each component). Documents: doc_id, n, class."""
     spark, texts = docs.sparkSession, _texts(docs)
-    slim = written(_slim(texts, n, percent), "shingles")
+    counts = _sketch(texts, n)
+    heavy = spark.sparkContext.broadcast(np.minimum(counts // HEAVY, 65_535).astype(np.uint16))  # 2 MB whatever the input
+    slim = written(_slim(texts, n, percent, counts), "shingles")
     first = [F.first(c).alias(c) for c in ("n", "bits", "prefix", "least")]  # equal in all copies
     classes = written(slim.where("n > 0").groupBy("class").agg(*first, F.min("text_key").alias("text_key")), "classes")
     slight = classes.select("class", "n", "bits")
@@ -434,7 +448,7 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int
     roots = written(connected_components(quick).select(F.col("node").alias("class"), "root"), "roots")
 
     # The second round.
-    shared = written(_tiles(classes, percent).groupBy("tile").applyInArrow(_shared, "h long, class long, size int"), "shared")
+    shared = written(_tiles(classes, percent, heavy).groupBy("tile").applyInArrow(_shared(heavy), "h long, class long, size int"), "shared")
     shared = written(shared.join(roots, "class", "left").select("h", "class", "size", F.coalesce("root", "class").alias("root")), "rooted")
     mixed = shared.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class").alias("hub"), F.count(F.lit(1)).alias("m")).where("low < high")
     mixed = written(mixed.select("h", "hub", "m", F.ceil(F.col("m") / block).alias("blocks")), "mixed")
@@ -488,11 +502,11 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, m
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all columns: of each component the one with the smallest doc_id.
 
-    Only ids are compared; where fewer ids go than BROADCAST_IDS no text is shuffled. Rows with
-    one doc_id share its fate; rows without a doc_id can't be told apart and stay.
+    Only texts that go, and a few others, are shuffled. Rows with one doc_id share its fate; rows
+    without a doc_id can't be told apart and stay.
     """
     rows, _, known = _components(docs, n, percent)
-    gone = rows.where("n > 0").join(known, "class").where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = rows.where("n > 0").join(known, "class").where("doc_id != component_id").select("doc_id").distinct()
     gone = written(gone, "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    filter_, packed = KeyFilter(gone, "doc_id"), docs.select(whole_row(), docs["doc_id"].cast("long").alias("doc_id"))
+    return filter_.outside(packed).select("row").unionAll(filter_.inside(packed).join(gone, "doc_id", "left_anti").select("row")).select("row.*")
