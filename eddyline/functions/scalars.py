@@ -23,10 +23,16 @@ def event_name(n: Column, start: Column) -> Column:
     return F.concat_ws("_", F.lit("EV"), serial(n), month_name(F.month(start)), F.year(start).cast("string"))
 
 
+#: Sums of two numbers up to which their code stays below 2^53, so that a root gives them back exactly.
+MOST_SUM = 94_906_264
+
+
 def pair_code(a: Column, b: Column) -> Column:
-    """Cantor's pairing of two whole numbers from 0."""
+    """Cantor's pairing of two whole numbers from 0 whose sum is at most MOST_SUM; an error beyond. Windowed labels are to be numbered anew first."""
     a, b = a.cast("long"), b.cast("long")
-    return F.shiftright((a + b) * (a + b + 1), 1) + b
+    fits = (a >= 0) & (b >= 0) & (a <= MOST_SUM) & (b <= MOST_SUM) & (a + b <= MOST_SUM)
+    code = F.shiftright((a + b) * (a + b + 1), 1) + b
+    return F.when(a.isNull() | b.isNull(), None).when(fits, code).otherwise(F.raise_error(F.lit("these numbers have no exact code")))
 
 
 def pair_of_code(code: Column) -> tuple[Column, Column]:
@@ -38,6 +44,10 @@ def pair_of_code(code: Column) -> tuple[Column, Column]:
     return w - b, b
 
 
+#: What names of files are searched for.
+YEAR_BEFORE_LAST, FIRST_SERIAL, FREE_YEAR = r"_(\d{4})_[\w-]+_", r"_(\d+)_", r"\b((?:19|20)\d{2})\b"
+
+
 def _number(text: Column, pattern: str) -> Column:
     found = F.regexp_extract(text, pattern, 1)
     return F.when(found != "", found.cast("int")).otherwise(F.lit(-1))
@@ -45,17 +55,17 @@ def _number(text: Column, pattern: str) -> Column:
 
 def year_in_name(name: Column) -> Column:
     """The four digits between underscores before the last part; -1 without any."""
-    return _number(name, r"_(\d{4})_[\w-]+_")
+    return _number(name, YEAR_BEFORE_LAST)
 
 
 def serial_in_name(name: Column) -> Column:
     """The first digits between underscores; -1 without any."""
-    return _number(name, r"_(\d+)_")
+    return _number(name, FIRST_SERIAL)
 
 
 def year_in_file_name(name: Column) -> Column:
     """The first free-standing year 19xx or 20xx; null without any. Underscores are part of a word."""
-    found = F.regexp_extract(name, r"\b((?:19|20)\d{2})\b", 1)
+    found = F.regexp_extract(name, FREE_YEAR, 1)
     return F.when(found != "", found.cast("int"))
 
 
@@ -65,12 +75,12 @@ def base_name(path: Column) -> Column:
 
 
 def box_text(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> Column:
-    """Bounds in whole degrees with hemispheres, as 10N-80N_90W-70E."""
+    """Bounds in whole degrees (halves to even) with hemispheres, as 10°N to 80°N, 90°W to 70°E."""
 
     def one(x: Column, plus: str, minus: str) -> Column:
-        return F.concat(F.format_string("%d", F.abs(F.rint(x)).cast("long")), F.when(x < 0, minus).otherwise(plus))
+        return F.concat(F.format_string("%d", F.rint(F.abs(x)).cast("long")), F.lit("°"), F.when(x < 0, minus).otherwise(plus))
 
-    return F.concat(one(lat_min, "N", "S"), F.lit("-"), one(lat_max, "N", "S"), F.lit("_"), one(lon_min, "E", "W"), F.lit("-"), one(lon_max, "E", "W"))
+    return F.concat(one(lat_min, "N", "S"), F.lit(" to "), one(lat_max, "N", "S"), F.lit(", "), one(lon_min, "E", "W"), F.lit(" to "), one(lon_max, "E", "W"))
 
 
 def shared_days(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

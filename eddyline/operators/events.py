@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from eddyline.functions.scalars import event_name
 
+from .tracking import numbered
+
 
 def lifetimes(days: DataFrame, last_day: int, close_open: bool = True) -> DataFrame:
     """(label, seq, first, island_first, end) from distinct (label, t): each stretch of days without a gap.
@@ -35,10 +37,8 @@ def events(cells: DataFrame, spans: DataFrame, min_days: int, min_cells: int, ce
     per_day = cells.groupBy("label", "t").agg(F.sum("n").alias("n"))
     inside = long.join(per_day, "label").where("t between start and end")
     sums = inside.groupBy("label", "seq", "first_day", "start", "end").agg(F.sum("n").cast("long").alias("pixel_sum")).where(F.col("pixel_sum") >= min_cells)
-    # One row an event: few, so one ordered window numbers them.
-    number = F.row_number().over(Window.orderBy("first_day", "label", "end"))
     start = F.date_from_unix_date("start")
-    return sums.withColumn("serial", number).select(
+    return numbered(sums, "first_day", "label", "end", name="serial").select(
         event_name(F.col("serial"), start).alias("id"), "serial", "label", F.col("start").alias("start_t"), F.col("end").alias("end_t"), start.alias("start"), F.date_from_unix_date("end").alias("end"), "pixel_sum", (F.col("pixel_sum") * cell_area).alias("area_km2")
     )
 

@@ -4,7 +4,9 @@ After Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014)
 Each task first contracts its own edges; then every node comes to point at its
 component's smallest node in about log(diameter) rounds. A round is two aggregations
 with map-side sums and two joins that AQE may split, so a hub of any size is no
-single task's work. Each round's edges are written out, which cuts the lineage.
+single task's work. Each round's edges are written out, which cuts the lineage. What
+contraction leaves of a graph, up to SMALL edges (some 100 MB in a task), one task settles at once;
+a larger one shrinks by rounds until a round changes nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eddyline.sources.scratch import written
 
-MAX_ROUNDS = 60
+SMALL = 300_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,12 +44,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 500_000:
+        if len(parent) > 2 * SMALL:
             yield flush()
     yield flush()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """(node, root) for every node of an edge between two different nodes; root is the component's smallest node.
 
     Nodes without such an edge are absent: each is its own component.
@@ -55,7 +57,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     found = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where(F.col("u") != F.col("v"))
     found = written(found.mapInArrow(_contract, "u long, v long"), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
+        if found.limit(small + 1).count() <= small:
+            settled = found.coalesce(1).mapInArrow(_contract, "u long, v long")
+            found = written(settled, "settled")
+            break
         # Large star: each neighbour above u goes to the smallest of u and its neighbours.
         both = found.unionAll(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -67,6 +73,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         found = written(small.distinct(), "edges")
         now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == before:
-            return found.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(found.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return found.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(found.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -21,12 +21,12 @@ def period_overlay(cells: DataFrame, first: int, last: int, height: int, width:
 
 def masked(raster: DataFrame, mask: DataFrame, land: int = 2) -> DataFrame:
     """Values over land (flag ``land`` in mask(yi, xi, mask)) become null. The mask has one row a cell of one grid."""
-    joined = raster.join(F.broadcast(mask.select("yi", "xi", "mask")), ["yi", "xi"], "left")
+    joined = raster.join(mask.select("yi", "xi", "mask"), ["yi", "xi"], "left")
     return joined.withColumn("value", F.when(F.coalesce(F.col("mask") == land, F.lit(False)), None).otherwise(F.col("value"))).drop("mask")
 
 
 def in_region(raster: DataFrame, region: DataFrame) -> DataFrame:
-    return raster.join(F.broadcast(region.select("yi", "xi").distinct()), ["yi", "xi"], "left_semi")
+    return raster.join(region.select("yi", "xi").distinct(), ["yi", "xi"], "left_semi")
 
 
 def dissolved(regions: DataFrame, codes: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def polygon_cells(points: DataFrame, rings: DataFrame) -> DataFrame:
     edge = F.explode(F.transform(F.sequence(F.lit(1), F.size("ring")), lambda i: F.struct(F.element_at("ring", i).alias("p"), F.element_at("ring", F.when(i == F.size("ring"), 1).otherwise(i + 1)).alias("q"))))
     edges = rings.select("region", edge.alias("e")).select("region", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")).where("y1 <> y2")
     rows = points.select("yi", "y").distinct()
-    crossing = edges.join(F.broadcast(rows), (F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
+    crossing = edges.join(rows, (F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
     crossing = crossing.select("region", "yi", (F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("cut"))
     inside = points.select("yi", "xi", "x").join(crossing, "yi").where("cut > x")
     return inside.groupBy("region", "yi", "xi").count().where("count % 2 = 1").select("region", "yi", "xi")
@@ -59,11 +59,11 @@ def centroids(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.avg("yi").cast("int").alias("cy"), F.avg("xi").cast("int").alias("cx"))
 
 
-def label_places(centres: DataFrame, height: int, width: int) -> DataFrame:
-    """Centroids kept off the edges: by a tenth of the width at the sides, and a twentieth of it above and below."""
+def label_places(cells: DataFrame, height: int, width: int, *keys: str) -> DataFrame:
+    """Where a group's name is drawn: its mean row and column, kept off the edges by a tenth of the width at the sides and a twentieth of it above and below, then rounded (halves to even)."""
     x, y = width // 10, width // 20
-    clamp = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.rint(c))).cast("int")
-    return centres.withColumns({"cx": clamp(F.col("cx"), x, width - 1 - x), "cy": clamp(F.col("cy"), y, height - 1 - y)})
+    clamp = lambda c, pad, size: F.rint(F.least(F.lit(float(size - pad)), F.greatest(F.lit(float(pad)), F.avg(c)))).cast("int")
+    return cells.groupBy(*keys).agg(clamp("yi", y, height).alias("cy"), clamp("xi", x, width).alias("cx"))
 
 
 def value_range(raster: DataFrame, n: float = 1.0) -> DataFrame:
@@ -73,7 +73,7 @@ def value_range(raster: DataFrame, n: float = 1.0) -> DataFrame:
 
 
 def frame_levels(raster: DataFrame) -> DataFrame:
-    """Values as 0..255 of their day's largest: an aggregation by day and a broadcast join, so a day is never one task's work."""
+    """Values as 0..255 of their day's largest: an aggregation by day and a join with it, which AQE broadcasts or splits, so a day is never one task's work."""
     top = raster.groupBy("t").agg(F.max("value").alias("__top"))
     level: Column = F.when(F.col("__top") > 0, F.floor(F.col("value") / F.col("__top") * 255)).otherwise(0)
     return raster.join(top, "t").withColumn("level", level.cast("int")).drop("__top")

@@ -1,8 +1,9 @@
 """Following regions from day to day by their overlap.
 
 Overlaps are one join of runs and one aggregation. Only they and the components' sizes
-enter the fold over days, and only within a window of days: a group has no more
-rows than a window has components.
+enter the fold over days. What never overlaps, over any number of days, can't decide about one
+another: the fold runs by connected component of the overlaps (or by window of days, where windows
+are given), so a group holds one region's history and no more.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eddyline.functions.scalars import pair_code
+from eddyline.sources.scratch import written
+
+from .graph import connected_components
+
 #: Windows have label spaces of their own.
 SPACE = 1 << 44
 
@@ -80,9 +86,9 @@ def fold(components: list[tuple[int, int, int]], pairs: list[tuple[int, int, int
     return out
 
 
-def _windows(cells: int, iou: tuple[int, int] | None):
+def _windows(cells: int, iou: tuple[int, int] | None, by_window: bool):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        w = key[0].as_py()
+        w = key[0].as_py() if by_window else 0
         rows = fold(
             list(zip(*(left.column(c).to_pylist() for c in ("t", "component", "size")), strict=True)),
             list(zip(*(right.column(c).to_pylist() for c in ("t", "prev", "cur", "inter", "first_cell")), strict=True)),
@@ -96,24 +102,42 @@ def _windows(cells: int, iou: tuple[int, int] | None):
 
 
 def track(labelled: DataFrame, width: int, cells: int, iou: tuple[int, int] | None = (1, 5), windows: DataFrame | None = None) -> DataFrame:
-    """Labelled runs with window_id and label. windows: (window_id, t), each day in one or more; one window for all without it."""
+    """Labelled runs with window_id and label. windows: (window_id, t), each day in one or more; without it all days are one window, and each history of regions that touch is a group."""
     if windows is None:
         own = labelled.withColumn("window_id", F.lit(0))
     else:
         own = labelled.join(F.broadcast(windows), "t")  # one row a day and window, far below a frame's size
+    groups = "window_id"
     sizes = own.groupBy("window_id", "t", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("size"))
     pairs = overlaps(own, width, keys=("window_id",))
+    if windows is None:
+        groups, pairs = "history", written(pairs, "overlaps")
+        at = lambda day, c: F.col(day).cast("long") * cells + F.col(c)
+        roots = connected_components(pairs.select((at("t", "prev") - cells).alias("a"), at("t", "cur").alias("b")))
+        pairs = pairs.withColumn("node", at("t", "cur")).join(roots, "node").withColumnRenamed("root", "history")
+        sizes = sizes.withColumn("node", at("t", "component")).join(roots, "node", "left").withColumn("history", F.coalesce("root", "node")).drop("root")
     sizes, pairs = sizes.toDF(*sizes.columns), pairs.toDF(*pairs.columns)  # columns of their own, though both stem from one table
-    labels = sizes.groupBy("window_id").cogroup(pairs.groupBy("window_id")).applyInArrow(_windows(cells, iou), "window_id int, t int, component long, label long")
+    labels = sizes.groupBy(groups).cogroup(pairs.groupBy(groups)).applyInArrow(_windows(cells, iou, windows is not None), "window_id int, t int, component long, label long")
     return own.join(labels, ["window_id", "t", "component"])
 
 
 def renumbered(df: DataFrame, first: int = 1, label: str = "label") -> DataFrame:
     """Labels in rising order as first, first + 1, ... in column ``number``. Only the distinct labels are ranked."""
-    order = df.select(label).distinct().withColumn("number", F.dense_rank().over(Window.orderBy(label)) + first - 1)
-    return df.join(order, label)
+    return df.join(numbered(df.select(label).distinct(), label, first=first), label)
+
+
+def numbered(df: DataFrame, *order: str, first: int = 1, name: str = "number") -> DataFrame:
+    """Rows numbered by some columns. They are dealt out in ranges; a range's numbers go on where those before it end, so no task sorts them all."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranges = written(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
+    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__own") + (first - 1)).cast("int")).drop("__range", "__own", "__before")
 
 
-def all_codes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every pair of two short label lists (prev, cur): a diagnostic, for lists of bounded length only."""
-    return a.select(F.col("label").alias("prev")).crossJoin(F.broadcast(b.select(F.col("label").alias("cur"))))
+def all_codes(labels: DataFrame, label: str = "component") -> DataFrame:
+    """(t, prev, cur, code) of every label of a day with every one of the day before: a diagnostic, whose pairs grow with the square of a frame's labels."""
+    now = labels.select("t", F.col(label).alias("cur")).distinct()
+    then = labels.select((F.col("t") + 1).alias("t"), F.col(label).alias("prev")).distinct()
+    return then.join(now, "t").withColumn("code", pair_code(F.col("prev"), F.col("cur")))

@@ -48,9 +48,9 @@ def label_map(pairs: DataFrame, persisted: DataFrame | None = None) -> DataFrame
     return nodes.join(roots, "child", "left").select("child", F.coalesce("root", "child").alias("mother"))
 
 
-def full_map(mapping: DataFrame, last_label: int) -> DataFrame:
-    """A map over all labels 0..last_label; those without a mother are their own."""
-    every = mapping.sparkSession.range(last_label + 1).withColumnRenamed("id", "child")
+def full_map(mapping: DataFrame, labels: DataFrame) -> DataFrame:
+    """A map over all labels that occur (``label``); those without a mother are their own."""
+    every = labels.select(F.col("label").alias("child")).distinct()
     return every.join(mapping, "child", "left").select("child", F.coalesce("mother", "child").alias("mother"))
 
 

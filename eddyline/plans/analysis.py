@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import Settings
 from eddyline.operators import components, events, tracking, windows
+from eddyline.sources import store
 from eddyline.sources.scratch import written
 
 
@@ -63,6 +65,42 @@ def windowed_labels(mask: DataFrame, s: Settings, first_day: int, last_day: int)
     return windows.stitched(cells, windows.label_map(windows.label_pairs(cells)))
 
 
+def extended(mask: DataFrame, s: Settings, first_day: int, last_day: int, path: str) -> DataFrame:
+    """(t, yi, xi, label) of all days so far, in batches: windows that an earlier run has stored whole under ``path`` aren't computed again.
+
+    A run begins at the first window that isn't whole, ``resume_day`` of the stored overlap; its pairs with the
+    window before it, and the stored map, give the labels of all. Runs one after the other agree with one over all days.
+    """
+    spark = mask.sparkSession
+    days = windows.window_days(spark, first_day, last_day, s.window_days, s.step_days)
+    state = store.load_state(spark, f"{path}/state") if store._exists(spark, f"{path}/state") else None
+    whole, overlap_last = state.select("whole", "overlap_last").head() if state is not None else (-1, None)
+    start = first_day if overlap_last is None else windows.resume_day(overlap_last, s.window_days, s.step_days)
+    todo = days.where(F.col("window_id") > whole)
+    cells = components.cells_of(tracked_runs(labelled_frames(mask.where(F.col("t").between(start, last_day)), s), s, todo.select("window_id", "t")))
+    store.save_windows(cells.select("window_id", "t", "yi", "xi", "label"), f"{path}/windows")
+    stored = spark.read.parquet(f"{path}/windows")
+    pairs = windows.label_pairs(stored.where(F.col("window_id") >= whole))
+    known = store.load_state(spark, f"{path}/map") if state is not None else None
+    mapping = written(windows.label_map(pairs, known), "map")
+    # Of windows that will be computed again nothing is remembered.
+    full = [r[0] for r in days.where(F.col("last") - F.col("first") == s.window_days).select("window_id").distinct().collect()]  # one row a window
+    done = max(full, default=-1)
+    version = 0 if state is None else int(state.select("run").head()[0]) + 1
+    lasting = stored.where(F.col("window_id") <= done).select(F.col("label").alias("child")).distinct()
+    store.save_state(mapping.join(lasting, "child", "left_semi").join(lasting.select(F.col("child").alias("mother")), "mother", "left_semi").select("child", "mother"), f"{path}/map", version)
+    store.save_state(spark.createDataFrame([(version, done, first_day + (done + 1) * s.step_days + s.window_days - s.step_days if done >= 0 else None)], "run int, whole int, overlap_last int"), f"{path}/state", version)
+    return windows.stitched(stored, mapping)
+
+
+def store_events(found: DataFrame, cells: DataFrame, s: Settings, path: str, back: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Store events and their cells (t, yi, xi, serial), after ``back`` has carried them to another grid and small holes are filled."""
+    labels = cells.select("t", "yi", "xi", F.col("serial").cast("long").alias("label"))
+    filled = components.fill_holes(back(labels) if back else labels, s.height, s.width, s.hole_max)
+    own = filled.join(found.select("id", F.col("serial").cast("long").alias("label")), "label").drop("label")
+    store.save_events(found, own, path)
+
+
 def windowed_events(mask: DataFrame, s: Settings, first_day: int, last_day: int) -> DataFrame:
     """Events from overlapping windows: memory is bounded by a window, whatever the number of days."""
     cells = written(windowed_labels(mask, s, first_day, last_day), "stitched")

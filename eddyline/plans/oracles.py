@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .queries import RING
 
 #: Tables in the order in which they may build on each other.
@@ -62,16 +64,53 @@ TABLES = {
     "wspan": "select w, min(d) lo, max(d) hi from cells group by 1",
     "mroot": "select a n, a m from pairs union select b, b from pairs union select case when p.a = l.n then p.b else p.a end, l.m from mroot l join pairs p on p.a = l.n or p.b = l.n",
     "mp": "select n child, min(m) mother from mroot group by 1",
+    "stitched": "select d, y, x, min(coalesce(mother, label)) label from cells left join mp on child = label group by 1, 2, 3",
+}
+#: The same steps from days to events, after windows are reconciled.
+_STEPS = ("days", "isl", "span", "life", "sums", "ev")
+for _n in _STEPS:
+    _text = TABLES[_n].replace("from cells", "from stitched").replace("join cells", "join stitched")
+    for _m in _STEPS:
+        _text = re.sub(rf"\b(from|join) {_m}\b", rf"\1 st_{_m}", _text)
+    TABLES[f"st_{_n}"] = _text
+#: Small holes (ten cells at most) in the labels of a table: free cells next to a label, what ten steps reach from them, and regions that end there.
+for _p, _source in (("k", "select d, c label, y, x from kept"), ("e", "select d, n label, y, x from ecells")):
+    TABLES |= {
+        f"{_p}lab": _source,
+        f"{_p}free": f"select k.d, k.label, b.y, c.x from (select distinct d, label from {_p}lab) k, (select cast(unnest(range(24)) as int) y) b, (select cast(unnest(range(24)) as int) x) c where not exists (select 1 from {_p}lab l where l.d = k.d and l.label = k.label and l.y = b.y and l.x = c.x)",
+        f"{_p}reach": f"""select f.d, f.label, f.y * 24 + f.x r, f.y, f.x, 0 k from {_p}free f join {_p}lab l on l.d = f.d and l.label = f.label and abs(l.y - f.y) + abs(l.x - f.x) = 1
+            union select r.d, r.label, r.r, f.y, f.x, r.k + 1 from {_p}reach r join {_p}free f on f.d = r.d and f.label = r.label and abs(f.y - r.y) + abs(f.x - r.x) = 1 where r.k < 10""",
+        f"{_p}hole": f"select d, label, r from {_p}reach group by 1, 2, 3 having count(distinct y * 24 + x) <= 10",
+        f"{_p}new": f"select d, y, x, max(label) filled from {_p}reach join {_p}hole using (d, label, r) group by 1, 2, 3",
+        f"{_p}full": f"select d, y, x, coalesce(filled, label) label from {_p}lab full join {_p}new using (d, y, x)",
+    }
+#: The sinusoidal grid over the raster, on the ellipsoid: places, bounds, cells, where they lie in the raster, and values; then back.
+_A, _E2 = "6378137.0", "0.00669437999014"
+_C0 = f"(1 - {_E2} / 4 - 3 * pow({_E2}, 2) / 64 - 5 * pow({_E2}, 3) / 256)"
+_E1 = f"((1 - sqrt(1 - {_E2})) / (1 + sqrt(1 - {_E2})))"
+_CORNERS = "(select cast(unnest(range(2)) as int) dy) dy, (select cast(unnest(range(2)) as int) dx) dx"
+TABLES |= {
+    "place": "select y, x, radians(y * 2.5 - 20) phi, radians(x * 3.0 - 30) lam from (select cast(unnest(range(24)) as int) y) a, (select cast(unnest(range(24)) as int) x) b",
+    "pxy": f"""select y, x, {_A} * lam * cos(phi) / sqrt(1 - {_E2} * pow(sin(phi), 2)) px, {_A} * ({_C0} * phi - (3 * {_E2} / 8 + 3 * pow({_E2}, 2) / 32 + 45 * pow({_E2}, 3) / 1024) * sin(2 * phi)
+        + (15 * pow({_E2}, 2) / 256 + 45 * pow({_E2}, 3) / 1024) * sin(4 * phi) - 35 * pow({_E2}, 3) / 3072 * sin(6 * phi)) py from place""",
+    "bounds": "select min(px) x0, max(px) x1, min(py) y0, max(py) y1 from pxy",
+    "gcell": "select i, j, y0 + i * 400000.0 gy, x0 + j * 400000.0 gx from bounds, (select unnest(range(100)) i) a, (select unnest(range(100)) j) b where i < ceil((y1 - y0) / 400000.0 - 1e-9) and j < ceil((x1 - x0) / 400000.0 - 1e-9)",
+    "gmu": f"select i, j, gx, gy / ({_A} * {_C0}) mu from gcell",
+    "gphi": f"select i, j, gx, mu + (3 * {_E1} / 2 - 27 * pow({_E1}, 3) / 32) * sin(2 * mu) + (21 * pow({_E1}, 2) / 16 - 55 * pow({_E1}, 4) / 32) * sin(4 * mu) + 151 * pow({_E1}, 3) / 96 * sin(6 * mu) + 1097 * pow({_E1}, 4) / 512 * sin(8 * mu) phi from gmu",
+    "gat": f"select i, j, round((degrees(phi) + 20) / 2.5, 9) fy, round((degrees(gx * sqrt(1 - {_E2} * pow(sin(phi), 2)) / ({_A} * cos(phi))) + 30) / 3.0, 9) fx from gphi",
+    "gw": f"select i, j, cast(least(floor(fy), 22) as int) + dy y, cast(least(floor(fx), 22) as int) + dx x, (case when dy = 1 then fy - least(floor(fy), 22) else 1 - (fy - least(floor(fy), 22)) end) * (case when dx = 1 then fx - least(floor(fx), 22) else 1 - (fx - least(floor(fx), 22)) end) w from gat, {_CORNERS} where fy between 0 and 23 and fx between 0 and 23",
+    "gval": "select d, i, j, sum(w * v) v from gw join ras using (y, x) where w > 0 group by 1, 2, 3",
+    "gsize": "select max(i) + 1 h, max(j) + 1 n from gcell",
+    "bat": "select y, x, (py - y0) / 400000.0 fy, (px - x0) / 400000.0 fx, h, n from pxy, bounds, gsize",
+    "bw": f"select y, x, least(floor(fy), h - 2) + dy i, least(floor(fx), n - 2) + dx j, (case when dy = 1 then fy - least(floor(fy), h - 2) else 1 - (fy - least(floor(fy), h - 2)) end) * (case when dx = 1 then fx - least(floor(fx), n - 2) else 1 - (fx - least(floor(fx), n - 2)) end) w from (select y, x, round(fy, 9) fy, round(fx, 9) fx, h, n from bat), {_CORNERS} where fy between 0 and h - 1 and fx between 0 and n - 1",
 }
-ORDER = ["wspan", "pairs", "mroot", "mp"]
+ORDER = ["wspan", "pairs", "mroot", "mp", "stitched", *(f"st_{n}" for n in _STEPS)]
 ONE, THREE = "select 0 w, 0 w0, 29 w1", "values (0, 0, 12), (1, 9, 21), (2, 18, 29)"
 GATE = "x.inter * 5 > g.psz + x.sz - x.inter"
 
 
 def sql(last: str, windows: bool = False, gate: str = GATE) -> str:
     """WITH the tables that a query needs, directly or by others."""
-    import re
-
     names = [n for n in TABLES if n not in ORDER] + ORDER
     text = {n: TABLES[n].replace("{gate}", gate) for n in names}
     needed, grown = {last_word for last_word in names if re.search(rf"\b{last_word}\b", last)}, True
@@ -119,7 +158,7 @@ SQL = {
     "window_tracks": sql("select w as window_id, d + 19723 as t, label, count(*) as n from cells group by 1, 2, 3", True),
     "label_pairs": sql("select a, b from pairs", True),
     "label_map": sql("select child, mother from mp", True),
-    "full_label_map": sql("select cast(r.i as bigint) as child, coalesce(m, r.i) as mother from range(1201) r(i) left join (select child % 1000 c, min(mother % 1000) m from mp group by 1) on c = r.i", True),
+    "full_label_map": sql("select distinct label as child, coalesce(mother, label) as mother from cells left join mp on child = label", True),
     "relabel_overlap": sql(f"select {_T}, {_YX}, min(coalesce(mother, label)) as label from cells left join mp on child = label group by 1, 2, 3", True),
     "lifetimes": sql("select label, seq, f + 19723 as first, e + 19723 as \"end\" from life"),
     "lifetime_intervals": sql("select label, seq, f + 19723 as first_day, st + 19723 as start, e + 19723 as \"end\" from life"),
@@ -128,7 +167,29 @@ SQL = {
     "mask_join": sql(f"select {_T}, {_YX}, case when (y + x) % 7 <> 0 then v end as value from ras where has"),
     "event_values": sql("select id, count(v) as n, cast(sum(v) as bigint) as total from ecells left join (select d, y, x, case when (y + x) % 7 <> 0 then v end v from ras where has) using (d, y, x) group by 1"),
     "polygon_mask": f"with p as (select cast(unnest(range(24)) as int) y), q as (select cast(unnest(range(24)) as int) x), e(x1, y1, x2, y2) as (values {_RING}) select 'A' as region, y as yi, x as xi from p, q join e on y >= least(y1, y2) and y < greatest(y1, y2) and x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x group by 2, 3 having count(*) % 2 = 1",
-    "centroids": sql("select id, t, greatest(1, least(22, cy)) as cy, greatest(2, least(21, cx)) as cx from (select id, d + 19723 as t, cast(floor(avg(y)) as int) cy, cast(floor(avg(x)) as int) cx from ecells group by 1, 2)"),
+    "centroids": sql("select id, d + 19723 as t, cast(floor(avg(y)) as int) as cy, cast(floor(avg(x)) as int) as cx from ecells group by 1, 2"),
+    "label_places": sql("select id, d + 19723 as t, cast(round_even(least(24 - 24 // 20, greatest(24 // 20, avg(y))), 0) as int) as cy, cast(round_even(least(24 - 24 // 10, greatest(24 // 10, avg(x))), 0) as int) as cx from ecells group by 1, 2"),
+    "box_text": sql("""select id, printf('%d°%s to %d°%s, %d°%s to %d°%s', cast(round_even(abs(a), 0) as int), if(a < 0, 'S', 'N'), cast(round_even(abs(b), 0) as int), if(b < 0, 'S', 'N'), cast(round_even(abs(e), 0) as int), if(e < 0, 'W', 'E'), cast(round_even(abs(f), 0) as int), if(f < 0, 'W', 'E')) as box
+        from (select id, min(y * 2.5 - 20) a, max(y * 2.5 - 20) b, min(x * 3.0 - 30) e, max(x * 3.0 - 30) f from ecells group by 1)"""),
+    "input_path": sql("""select d + 19723 as t, cast((y - my) // 2 as int) as yi, cast((x - mx) // 2 as int) as xi, cast(y * 2.5 - 20 as double) as lat, cast(x * 3.0 - 30 as double) as lon, cast(v as double) as value
+        from (select *, min(y) over () my, min(x) over () mx from ras where has and d between 5 and 20 and y * 2.5 - 20 between -11 and 20 and x * 3.0 - 30 between -20 and 31) where (y - my) % 2 = 0 and (x - mx) % 2 = 0"""),
+    "preprocess_province": sql("select d + 19723 as t, y as yi, x as xi from ras join (POLYGON) p on p.yi = y and p.xi = x where has and v >= 60000"),
+    "project_raster": sql("select d + 19723 as t, cast(i as int) as yi, cast(j as int) as xi, round(v, 0) as value from gval"),
+    "project_back": sql("select d + 19723 as t, y as yi, x as xi, round(case when sum(w) > 1 - 1e-9 then sum(w * v) end, 0) as value from bw join gval using (i, j) where w > 0 group by 1, 2, 3"),
+    "labels_back": sql("select d + 19723 as t, y as yi, x as xi, cast(i * 1000 + j as bigint) as label from (select y, x, round_even(fy, 0) i, round_even(fx, 0) j from bat) join gval using (i, j) where v >= 60000"),
+    "saved_windows": sql("select w as window_id, d + 19723 as t, count(*) as n from cells group by 1, 2", True),
+    "named_tables": sql("select case when d < 10 then 'mask_0_to_9' else 'mask_10_to_19' end as name, count(*) as n from mask where d < 20 group by 1"),
+    "saved_events": sql("select id, cast(right(id, 4) as int) as year, d + 19723 as t, y as yi, x as xi from efull join (select id, n from ev) on n = label"),
+    "newest_year": sql(f"select 2000 + d // 7 as year, {_T}, {_YX}, v as value from ras where has and d // 7 = (select max(d // 7) from ras where has)"),
+    "appended_days": sql("select d + 19723 as t, cast(sum(v) as bigint) as total from ras group by 1"),
+    "extended_batches": sql(f"select {_T}, {_YX}, label from stitched", True),
+    "nearest_rows": sql(f"select {_T}, {_YX}, cast(y * 2.5 - 20 as double) as lat, v as value from ras where has and y = (select y from ras where has order by abs(y * 2.5 - 20 - 7.1), y limit 1)"),
+    "affine_corners": "select 3.0::double as a, 0.0::double as b, -31.5::double as c, 0.0::double as d, 2.5::double as e, -21.25::double as f",
+    "all_codes": sql("select distinct b.d + 19723 as t, a.c as prev, b.c as cur, (a.c + b.c) * (a.c + b.c + 1) // 2 + b.c as code from csize a join csize b on b.d = a.d + 1"),
+    "dissolved_regions": sql(f"select {_T}, {_YX} from mask where y // 6 = 0 or x // 6 = 2"),
+    "last_label": sql("select coalesce(max(label), 1) as label from cells"),
+    "events_windowed": sql(_EVENTS.replace("from ev", "from st_ev"), True),
+    "fill_small_holes": sql(f"select {_T}, {_YX}, cast(label as bigint) as label from kfull"),
     "value_range": sql("select round(avg(v), 3) as mean, round(stddev_pop(v), 3) as spread, round(avg(v) - stddev_pop(v), 3) as low, round(avg(v) + stddev_pop(v), 3) as high, min(v) as least, max(v) as largest from ras"),
     "frame_norm": sql(f"select {_T}, {_YX}, case when max(v) over (partition by d) > 0 then cast(floor(v / max(v) over (partition by d) * 255) as int) else 0 end as level from ras where has"),
     "file_name_parts": """select name, coalesce(try_cast(nullif(regexp_extract(name, '_(\\d{4})_[\\w-]+_', 1), '') as int), -1) as year, coalesce(try_cast(nullif(regexp_extract(name, '_(\\d+)_', 1), '') as int), -1) as serial,
@@ -140,3 +201,4 @@ SQL = {
         from ras join (select cast(unnest(range(47)) as int) fy) on abs(fy * 0.5 - y) < 1 join (select cast(unnest(range(47)) as int) fx) on abs(fx * 0.5 - x) < 1 group by 1, 2, 3"""),
     "labels_nearest": sql("select d + 19723 as t, cy as yi, cx as xi, c as label from kept join (select cast(unnest(range(10)) as int) cy) on y = cast(round_even(cy * 2.3, 0) as int) join (select cast(unnest(range(10)) as int) cx) on x = cast(round_even(cx * 2.3, 0) as int)"),
 }
+SQL["preprocess_province"] = SQL["preprocess_province"].replace("POLYGON", SQL["polygon_mask"])

@@ -10,7 +10,7 @@ from eddyline.functions import scalars
 from eddyline.operators import components, events, grid, overlay, tracking, windows
 from eddyline.plans import analysis
 from eddyline.sources import raster, store
-from eddyline.sources.scratch import written
+from eddyline.sources.scratch import scratch_path, written
 
 SIDE, DAYS = 24, 30
 #: 2024-01-01 in days since 1970-01-01.
@@ -18,6 +18,8 @@ FIRST = 19_723
 LAST = FIRST + DAYS - 1
 #: Sizes that fit this raster: 5 cells a frame, 20 a volume, 4 days or more, windows of 13 days every 9.
 SETTINGS = Settings(height=SIDE, width=SIDE, min_days=3, min_area_frame=500, min_area_time=2_000, window_days=12, step_days=9)
+#: Where the raster lies: the first row's and column's degrees, and those from one to the next; metres of a projected cell.
+LAT, LON, CELL = (-20.0, 2.5), (-30.0, 3.0), 400_000.0
 #: File names to be read, and a polygon.
 NAMES = ("EV_000012_JAN_2018", "out/EV_2019_x-y_z.nc", "mhw_2018.nc", "mhw 1999.nc", "none", "a_77_b_2020_c_d")
 RING = ((2.2, 1.3), (20.6, 4.1), (17.4, 21.7), (9.5, 12.4), (3.1, 19.8))
@@ -159,8 +161,8 @@ def label_map(spark, sf_dir):
 
 
 def full_label_map(spark, sf_dir):
-    small = label_map(spark, sf_dir).select((F.col("child") % 1000).alias("child"), (F.col("mother") % 1000).alias("mother")).groupBy("child").agg(F.min("mother").alias("mother"))
-    return windows.full_map(small, 1200)
+    cells = _windowed(spark, sf_dir)
+    return windows.full_map(windows.label_map(windows.label_pairs(cells).where("a <> b")), cells)
 
 
 def relabel_overlap(spark, sf_dir):
@@ -231,7 +233,11 @@ def polygon_mask(spark, sf_dir):
 
 
 def centroids(spark, sf_dir):
-    return overlay.label_places(overlay.centroids(_event_cells(spark, sf_dir), "id", "t"), SIDE, SIDE)
+    return overlay.centroids(_event_cells(spark, sf_dir), "id", "t")
+
+
+def label_places(spark, sf_dir):
+    return overlay.label_places(_event_cells(spark, sf_dir), SIDE, SIDE, "id", "t")
 
 
 def value_range(spark, sf_dir):
@@ -254,7 +260,7 @@ def month_batches(spark, sf_dir):
 
 
 def _places(spark):
-    return raster.spine(spark, 0, 0, SIDE, SIDE).select("yi", "xi", (F.col("yi") * 2.5 - 20).alias("lat"), (F.col("xi") * 3.0 - 30).alias("lon"))
+    return raster.spine(spark, 0, 0, SIDE, SIDE).select("yi", "xi", (F.col("yi") * LAT[1] + LAT[0]).alias("lat"), (F.col("xi") * LON[1] + LON[0]).alias("lon"))
 
 
 def sinusoidal_xy(spark, sf_dir):
@@ -275,6 +281,119 @@ def labels_nearest(spark, sf_dir):
     return grid.carried(cells, grid.nearest_cells(coarse, 0, 1, 0, 1, SIDE, SIDE))
 
 
+def _located(df: DataFrame) -> DataFrame:
+    return df.withColumn("lat", F.col("yi") * LAT[1] + LAT[0]).withColumn("lon", F.col("xi") * LON[1] + LON[0])
+
+
+def box_text(spark, sf_dir):
+    own = _located(_event_cells(spark, sf_dir)).groupBy("id").agg(*(f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for f, n in ((F.min, "least"), (F.max, "most"))))
+    return own.select("id", scalars.box_text(F.col("lat_least"), F.col("lat_most"), F.col("lon_least"), F.col("lon_most")).alias("box"))
+
+
+def input_path(spark, sf_dir):
+    """A yearly raster with other names for its axes and a column too many, from storage to the working table."""
+    own = _located(smooth(spark, sf_dir)).select(F.date_from_unix_date("t").alias("time"), "yi", "xi", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("value").cast("double").alias("intensity"), F.lit("strong").alias("category"))
+    older = own.withColumns({"time": F.date_sub("time", 365), "intensity": F.lit(1.0)})
+    path = scratch_path(spark, "yearly")
+    own.unionAll(older).withColumn("year", F.year("time")).write.partitionBy("year").parquet(path)
+    return raster.load(spark, path, "intensity", FIRST + 5, FIRST + 20, (-11.0, 20.0, -20.0, 31.0), 2).select("t", "yi", "xi", "lat", "lon", "value")
+
+
+def _province(spark):
+    return polygon_mask(spark, "")
+
+
+def preprocess_province(spark, sf_dir):
+    return raster.preprocessed(smooth(spark, sf_dir).withColumn("category", F.lit(1)), 60_000.0, _province(spark))
+
+
+def _projected(spark, sf_dir):
+    df = raster_dense(spark, sf_dir).select("t", "yi", "xi", F.col("value").cast("double").alias("value"))
+    return grid.project(df, _places(spark), LAT[0], LAT[1], LON[0], LON[1], SIDE, SIDE, CELL)
+
+
+def project_raster(spark, sf_dir):
+    return _projected(spark, sf_dir)[0].select("t", "yi", "xi", F.round("value", 0).alias("value"))
+
+
+def _start(ys: DataFrame, xs: DataFrame) -> tuple[float, float, int, int]:
+    (y0, height), (x0, width) = (df.agg(F.min(c), F.count(F.lit(1))).head() for df, c in ((ys, "y"), (xs, "x")))
+    return y0, x0, height, width
+
+
+def project_back(spark, sf_dir):
+    df, ys, xs = _projected(spark, sf_dir)
+    y0, x0, height, width = _start(ys, xs)
+    return grid.project_back(df, _places(spark), y0, x0, CELL, height, width).select("t", "yi", "xi", F.round("value", 0).alias("value"))
+
+
+def labels_back(spark, sf_dir):
+    df, ys, xs = _projected(spark, sf_dir)
+    y0, x0, height, width = _start(ys, xs)
+    labels = df.where("value >= 60000").select("t", "yi", "xi", (F.col("yi") * 1000 + F.col("xi")).cast("long").alias("label"))
+    return grid.labels_back(labels, _places(spark), y0, x0, CELL, height, width)
+
+
+def saved_windows(spark, sf_dir):
+    path = scratch_path(spark, "saved")
+    store.save_windows(_windowed(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("window_id", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
+def named_tables(spark, sf_dir):
+    path, own = scratch_path(spark, "named"), written(mask(spark, sf_dir), "mask")
+    for name, first, last in (("mask_0_to_9", 0, 9), ("mask_10_to_19", 10, 19), ("rest", 20, 29)):
+        raster.days(own, FIRST + first, FIRST + last).write.parquet(f"{path}/{name}")
+    return store.named(spark, path, "*_to_*").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def saved_events(spark, sf_dir):
+    own, path = _analysis(spark, sf_dir), scratch_path(spark, "events")
+    analysis.store_events(own.found, events.event_cells(components.cells_of(own.tracked), own.found), SETTINGS, path)
+    return spark.read.parquet(f"{path}/event_cells").select("id", "year", "t", "yi", "xi")
+
+
+def newest_year(spark, sf_dir):
+    return store.newest_year(smooth(spark, sf_dir).withColumn("year", F.expr(f"2000 + (t - {FIRST}) div 7"))).select("year", "t", "yi", "xi", "value")
+
+
+def appended_days(spark, sf_dir):
+    path, own = scratch_path(spark, "days"), written(raster_dense(spark, sf_dir), "dense")
+    for first, last in ((0, 9), (10, 19), (20, 29)):
+        store.append(raster.days(own, FIRST + first, FIRST + last), path)
+    return spark.read.parquet(path).groupBy("t").agg(F.sum("value").alias("total"))
+
+
+def extended_batches(spark, sf_dir):
+    """Two runs, the second of which goes on from what the first has stored."""
+    own, path = written(mask(spark, sf_dir), "mask"), scratch_path(spark, "state")
+    analysis.extended(raster.days(own, FIRST, FIRST + 17), SETTINGS, FIRST, FIRST + 17, path).count()
+    return analysis.extended(own, SETTINGS, FIRST, LAST, path)
+
+
+def nearest_rows(spark, sf_dir):
+    return grid.nearest_value(_located(smooth(spark, sf_dir)).select("t", "yi", "xi", "lat", "value"), "lat", 7.1)
+
+
+def affine_corners(spark, sf_dir):
+    return spark.createDataFrame([grid.affine(LON[0], LON[1], LAT[0], LAT[1])], "a double, b double, c double, d double, e double, f double")
+
+
+def all_codes(spark, sf_dir):
+    return tracking.all_codes(_labelled(spark, sf_dir))
+
+
+def dissolved_regions(spark, sf_dir):
+    own = raster.spine(spark, 0, 0, SIDE, SIDE).select("yi", "xi")
+    rows, columns = own.withColumn("region", F.concat(F.lit("R"), F.expr("yi div 6"))), own.withColumn("region", F.concat(F.lit("C"), F.expr("xi div 6")))
+    region = overlay.dissolved(rows.unionAll(columns), ["R0", "C2"])
+    return overlay.in_region(mask(spark, sf_dir), region)
+
+
+def last_label(spark, sf_dir):
+    return spark.createDataFrame([(windows.last_label(_analysis(spark, sf_dir).tracked),)], "label long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -282,6 +401,7 @@ QUERIES = {
         overlap_pairs, overlap_iou, pair_diagnostics, cantor_roundtrip, track_labels, track_labels_legacy, dust_volume, components_3d, renumber_labels, window_assign,
         window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
         fill_small_holes, period_overlay, mask_join, event_values, polygon_mask, centroids, value_range, frame_norm, file_name_parts, month_batches, sinusoidal_xy,
-        reproject_bilinear, labels_nearest,
+        reproject_bilinear, labels_nearest, label_places, box_text, input_path, preprocess_province, project_raster, project_back, labels_back, saved_windows, named_tables,
+        saved_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
     )
 }

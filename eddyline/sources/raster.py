@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,23 @@ def scan(spark: SparkSession, path: str, variable: str, first_year: int | None =
     return df.select(t.cast("int").alias("t"), "yi", "xi", *places, F.when(~F.isnan(value), value).alias("value"))
 
 
+def load(spark: SparkSession, path: str, variable: str, first: int, last: int, area: tuple[float, float, float, float] | None = None, step: int = 1) -> DataFrame:
+    """One variable of the days first..last, of an area (lat_min, lat_max, lon_min, lon_max), and every step-th row and column of it. Rows and columns count from the area's first."""
+    years = [(date(1970, 1, 1) + timedelta(days=t)).year for t in (first, last)]
+    df = days(scan(spark, path, variable, *years), first, last)
+    if area is not None:
+        df = box(df, *area)
+        y, x = df.agg(F.min("yi"), F.min("xi")).head()  # one row
+        df = df.withColumns({"yi": (F.col("yi") - F.lit(y)).cast("int"), "xi": (F.col("xi") - F.lit(x)).cast("int")})
+    return thinned(df, step) if step > 1 else df
+
+
+def preprocessed(df: DataFrame, least: float, region: DataFrame | None = None) -> DataFrame:
+    """The cells from the least value on, of a region (yi, xi) where one is given."""
+    cells = mask(df.drop("category"), least)
+    return cells if region is None else cells.join(region.select("yi", "xi").distinct(), ["yi", "xi"], "left_semi")
+
+
 def days(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.where(F.col("t").between(first, last))
 

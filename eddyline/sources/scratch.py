@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +16,14 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master only: executors elsewhere don't see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (_own[0] if _own else None)
     if not found:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='eddyline-')}")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="eddyline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own.append(f"file://{folder}")
         found = _own[0]
     return found.rstrip("/")
 
@@ -28,6 +36,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one's own; it goes with the scratch tables."""
+    path = f"{shared_dir(spark)}/eddyline/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def kept_only(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """What is written inside goes at the end, also where it fails, but for the tables under the paths in ``keep``."""
+    before = list(_written)
+    _written.clear()
+    try:
+        yield
+    finally:
+        stay = [p for p in _written if p in keep]
+        _written[:] = [p for p in _written if p not in keep]
+        release(spark)
+        _written[:] = before + stay
+
+
+def path_of(df: DataFrame) -> str:
+    """The folder of a table that ``written`` gave."""
+    return next(p for p in reversed(_written) if df.inputFiles() and p.split("://")[-1] in df.inputFiles()[0])
+
+
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables written so far, once their results are stored. Returns how many there were."""
     jvm, n = spark.sparkContext._jvm, 0

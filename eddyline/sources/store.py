@@ -36,13 +36,20 @@ def joined(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def save_events(events: DataFrame, cells: DataFrame, path: str) -> None:
-    events.write.mode("overwrite").parquet(f"{path}/events")
-    cells.write.mode("overwrite").partitionBy("id").parquet(f"{path}/event_cells")
+    """Events and their cells, both in folders by the year in which the event began: it is part of an id."""
+    year = F.substring_index("id", "_", -1).cast("int")
+    for name, df in (("events", events), ("event_cells", cells)):
+        df.withColumn("year", year).write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
+
+
+def load_event(spark: SparkSession, path: str, id: str) -> DataFrame:
+    """An event's cells; only its year's folder is read."""
+    return spark.read.parquet(f"{path}/event_cells").where((F.col("year") == int(id.rpartition("_")[2])) & (F.col("id") == id))
 
 
 def named(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """The Parquet files of a folder whose names fit, with their path as ``file``."""
-    return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path).withColumn("file", F.input_file_name())
+    """The tables of a folder whose names fit, together, with each row's as ``name``."""
+    return spark.read.parquet(f"{path}/{glob}").withColumn("name", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
 def newest_year(df: DataFrame) -> DataFrame:
