@@ -26,10 +26,15 @@ STEP_BYTES = 2 << 20
 CACHE_WORDS = 800_000
 
 
+#: Spark's setting, its default, and ours; a text of more bytes is a batch of its own.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("268435456b", "256m", "256MB", "268435456", "64MB", "64m", "67108864b", "67108864"), "4m"))
+
+
 def tune(spark: SparkSession) -> None:
-    """Batches of a few MB between Spark and Python, as texts are large and executors hold two copies of each."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # a text of more is a batch of its own
+    """Batches of a few MB between Spark and Python, as texts are large and executors hold two copies of each. Settings that differ from Spark's defaults are the caller's and stay."""
+    for name, defaults, own in BATCHES:
+        if spark.conf.get(name) in defaults:
+            spark.conf.set(name, own)
 
 
 def tidy() -> None:

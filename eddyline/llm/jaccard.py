@@ -465,14 +465,14 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n, class; classes; class, root and component_id of each class)."""
+    """(documents: doc_id, n, class; classes; class, root, least (its smallest doc_id) and component_id of each class)."""
     rows, classes, pairs = links(docs, n, percent)
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     roots = connected_components(pairs).withColumnsRenamed({"node": "class"})
     known = least.join(roots, "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     known = written(known, "known")
     component = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, classes, written(known.join(component, "root").select("class", "root", "component_id"), "components")
+    return rows, classes, written(known.join(component, "root").select("class", "root", "least", "component_id"), "components")
 
 
 def _link_counts(docs: DataFrame, classes: DataFrame, known: DataFrame, n: int, percent: int, members: int) -> DataFrame:
@@ -491,12 +491,12 @@ def _link_counts(docs: DataFrame, classes: DataFrame, known: DataFrame, n: int,
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, members: int = MEMBERS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id (equal for equal sets; null for the empty one), n_links (classes that its own links with)."""
+    """One row per document: doc_id, n_shingles, component_id, class_id (the smallest doc_id with the same set; null for the empty one), n_links (classes that its own links with)."""
     rows, classes, known = _components(docs, n, percent)
     counts = written(_link_counts(docs, classes, known, n, percent, members), "degrees")
-    known = known.join(counts, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.join(counts, "class", "left").select("class", "least", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("class").alias("class_id"), "n_links").unionAll(empty)
+    return rows.where("n > 0").join(known, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("least").alias("class_id"), "n_links").unionAll(empty)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -66,6 +66,25 @@ def op10_pack(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op6_weak_quality, op7_licences, op8_substring_dedup, op9_pii, op10_pack)}
 
 SQL = {
+    "op3_jaccard_join": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+        s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') x from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) i from d where len(w) > 0)),
+        sets as (select doc_id, count(*) n, md5(string_agg(x, chr(10) order by x)) id from s group by 1),
+        classes as (select id, min(doc_id) c, min(n) n from sets group by 1),
+        shown as (select c, x from classes join s on s.doc_id = c),
+        links as (select a, b from (select p.c a, q.c b, count(*) m from shown p join shown q on p.x = q.x and p.c <> q.c group by 1, 2) join classes p on p.c = a join classes q on q.c = b where 100 * m >= 80 * (p.n + q.n - m)),
+        reach as (select c, c r from classes union select l.b, reach.r from reach join links l on l.a = reach.c where reach.r < l.b),
+        roots as (select c, min(r) r from reach group by 1),
+        degrees as (select a c, count(*) k from links group by 1)
+        select d.doc_id, coalesce(sets.n, 0) as n_shingles, coalesce(r, d.doc_id) as component_id, classes.c as class_id, coalesce(k, 0) as n_links
+        from d left join sets on sets.doc_id = d.doc_id left join classes using (id) left join roots on roots.c = classes.c left join degrees on degrees.c = classes.c""",
+    "op8_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        windows as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) x from (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50)),
+        gone as (select distinct doc_id, unnest(range(i, i + 50)) i from (select doc_id, i, min(doc_id) over (partition by x) least from windows) where least < doc_id),
+        words as (select doc_id, unnest(w) word, generate_subscripts(w, 1) i from d),
+        kept as (select doc_id, count(*) n, string_agg(word, ' ' order by i) t from words anti join gone using (doc_id, i) group by 1)
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
     "op2_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(x) as text_sha256
