@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eddyline.llm import exact_dedup, jaccard, mixing, packing, quality
 from eddyline.llm.common import tune, written
 from eddyline.llm.queries import WEIGHTS, tokenizer_path
+from eddyline.sources.scratch import latest, only_last, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    """All stages. A stage's scratch tables, and its predecessor's result, go when its own result is stored; the last one's stay until ``release``."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with only_last(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            release(spark, before)
+        before = latest()
+    return STAGES[-1][1](spark, docs, sf_dir)

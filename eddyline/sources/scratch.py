@@ -44,26 +44,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def kept_only(spark: SparkSession, keep: list[str]) -> Iterator[None]:
-    """What is written inside goes at the end, also where it fails, but for the tables under the paths in ``keep``."""
-    before = list(_written)
+def only_last(spark: SparkSession) -> Iterator[None]:
+    """Of the tables written inside only the last one stays; where the block fails, none."""
+    before, done = list(_written), False
     _written.clear()
     try:
         yield
+        done = True
     finally:
-        stay = [p for p in _written if p in keep]
-        _written[:] = [p for p in _written if p not in keep]
+        last = _written[-1:] if done else []
+        _written[:] = _written[: len(_written) - len(last)]
         release(spark)
-        _written[:] = before + stay
+        _written[:] = before + last
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder of a table that ``written`` gave."""
-    return next(p for p in reversed(_written) if df.inputFiles() and p.split("://")[-1] in df.inputFiles()[0])
+def latest() -> str:
+    """The folder of the table that was written last."""
+    return _written[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the scratch tables written so far, once their results are stored. Returns how many there were."""
+def release(spark: SparkSession, path: str | None = None) -> int:
+    """Delete the scratch tables written so far (or one of them), once their results are stored. Returns how many there were."""
+    if path is not None:
+        if path in _written:
+            _written.remove(path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
     jvm, n = spark.sparkContext._jvm, 0
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:

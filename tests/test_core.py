@@ -96,6 +96,8 @@ def test_components_long_path_and_hub(spark):
     path = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 300)]
     roots = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(path, "a long, b long").repartition(8)).collect()}
     assert all(roots[i] == 0 for i in range(201)) and all(roots[1000 + k] == 1000 for k in range(300))
+    rounds = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(path, "a long, b long").repartition(8), small=-1).collect()}
+    assert rounds == roots
 
 
 def test_flood_fill(spark):
@@ -125,7 +127,15 @@ def test_scalars(spark):
     a, b = scalars.pair_of_code(code)
     assert df.where((a != F.col("n")) | (b != F.col("m"))).count() == 0
     box = df.limit(1).select(scalars.box_text(F.lit(10.0), F.lit(80.0), F.lit(-90.0), F.lit(70.0)))
-    assert box.head()[0] == "10N-80N_90W-70E"
+    assert box.head()[0] == "10°N to 80°N, 90°W to 70°E"
+    odd = df.limit(1).select(scalars.box_text(F.lit(-0.4), F.lit(2.5), F.lit(0.5), F.lit(1.5)))
+    assert odd.head()[0] == "0°S to 2°N, 0°E to 2°E"
+    with pytest.raises(Exception, match="no exact code"):
+        df.select(scalars.pair_code(F.lit(1 << 44), F.col("n"))).collect()
+    m = scalars.MOST_SUM
+    far = spark.createDataFrame([(0, m), (m, 0), (m // 2, m // 2 - 1)], "n long, m long").withColumn("code", scalars.pair_code(F.col("n"), F.col("m")))
+    a, b = scalars.pair_of_code(F.col("code"))
+    assert far.where((a != F.col("n")) | (b != F.col("m"))).count() == 0
 
 
 def test_quantise_nan(spark):
@@ -155,6 +165,90 @@ def test_projection_round_trip(spark):
     assert all(abs(v) < 1e-9 for r in got for v in r)
 
 
+def test_ellipsoid_round_trip(spark):
+    df = spark.createDataFrame([(12.5, 33.0), (-70.0, -100.0), (0.0, 0.0), (89.0, 5.0)], "lat double, lon double")
+    x, y = grid.sinusoidal(F.col("lat"), F.col("lon"))
+    lat, lon = grid.from_sinusoidal(F.col("x"), F.col("y"), True)
+    got = df.withColumn("x", x).withColumn("y", y).select((lat - F.col("lat")).alias("a"), (lon - F.col("lon")).alias("b"), "y").collect()
+    assert all(abs(v) < 1e-8 for r in got for v in r[:2])
+    # Snyder's example for Clarke's spheroid has other constants; on WGS 84 a quarter of a meridian is 10,001,966 m.
+    quarter = spark.range(1).select(grid.sinusoidal(F.lit(90.0), F.lit(0.0))[1]).head()[0]
+    assert abs(quarter - 10_001_965.73) < 0.1
+
+
+def test_project_there_and_back(spark):
+    # A plane is linear in both directions, so it comes back but for cells at the rim.
+    places = raster.spine(spark, 0, 0, 12, 12).select("yi", "xi", (F.col("yi") * 0.5 + 10).alias("lat"), (F.col("xi") * 0.5 - 3).alias("lon"))
+    flat = places.select(F.lit(1).alias("t"), "yi", "xi", (F.col("lat") * 10).alias("value"))
+    there, ys, xs = grid.project(flat, places, 10.0, 0.5, -3.0, 0.5, 12, 12, 20_000.0)
+    y0, x0 = ys.agg(F.min("y")).head()[0], xs.agg(F.min("x")).head()[0]
+    back = grid.project_back(there, places, y0, x0, 20_000.0, ys.count(), xs.count())
+    both = back.join(flat.withColumnRenamed("value", "was"), ["t", "yi", "xi"]).where("value is not null").collect()
+    assert len(both) > 80 and all(abs(r.value - r.was) < 0.01 for r in both)
+    assert ys.select("y").head(2)[1][0] - y0 == 20_000.0 and there.agg(F.max("t")).head()[0] == 1
+
+
+def test_label_places_are_clamped_before_rounding(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("b", 23, 23), ("c", 5, 6), ("c", 6, 7)], "id string, yi int, xi int")
+    got = {r.id: (r.cy, r.cx) for r in overlay.label_places(df, 24, 24, "id").collect()}
+    # Halves go to the even number, and the upper bound is the length less the padding.
+    assert got == {"a": (1, 2), "b": (23, 22), "c": (6, 6)}
+
+
+def test_numbered(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as a", "id % 3 as b").repartition(7)
+    got = tracking.numbered(df, "b", "a", first=5).collect()
+    want = {(r.b, r.a): k + 5 for k, r in enumerate(sorted(got, key=lambda r: (r.b, r.a)))}
+    assert len(got) == 1000 and all(r.number == want[r.b, r.a] for r in got)
+
+
+def test_histories_are_folded_apart(spark):
+    # Two regions far from each other, and one that splits: groups of the fold hold one history each.
+    mask = row0(spark, [(0, 4), (10, 14)], [(1, 5), (10, 14)], [(1, 2), (4, 5), (11, 14)], [(11, 14)])
+    own = components.label_frames(mask, 20)
+    apart = {(r.t, r.x0): r.label for r in tracking.track(own, 20, 20).collect()}
+    days = spark.createDataFrame([(0, t) for t in range(4)], "window_id int, t int")
+    assert apart == {(r.t, r.x0): r.label for r in tracking.track(own, 20, 20, windows=days).collect()}
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    from eddyline.plans import analysis
+    from eddyline.sources.scratch import written
+
+    own = written(queries.mask(spark, DATA), "mask")
+    want = sorted(map(tuple, analysis.windowed_labels(own, queries.SETTINGS, queries.FIRST, queries.LAST).select("t", "yi", "xi", "label").collect()))
+    for last in (queries.FIRST + 10, queries.FIRST + 19, queries.LAST):
+        got = analysis.extended(raster.days(own, queries.FIRST, last), queries.SETTINGS, queries.FIRST, last, f"file://{tmp_path}/state")
+    assert sorted(map(tuple, got.select("t", "yi", "xi", "label").collect())) == want
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from eddyline.sources import scratch
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: {}))
+    before, scratch._own[:] = list(scratch._own), []
+    try:
+        with pytest.raises(RuntimeError):
+            scratch.shared_dir(far)
+    finally:
+        scratch._own[:] = before
+    with pytest.raises(ZeroDivisionError), scratch.only_last(spark):
+        lost = scratch.written(spark.range(3), "lost")
+        raise ZeroDivisionError
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(lost.inputFiles()[0])
+
+
+def test_saved_events_by_year(spark, tmp_path):
+    found = spark.createDataFrame([("EV_000001_JAN_2024", 1), ("EV_000002_DEC_2023", 2)], "id string, serial int")
+    own = spark.createDataFrame([("EV_000001_JAN_2024", 5, 0, 0), ("EV_000002_DEC_2023", 1, 2, 2)], "id string, t int, yi int, xi int")
+    store.save_events(found, own, f"file://{tmp_path}/ev")
+    one = store.load_event(spark, f"file://{tmp_path}/ev", "EV_000002_DEC_2023")
+    assert [(r.t, r.yi) for r in one.collect()] == [(1, 2)] and "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from eddyline.streaming.tracker import track_stream
 
@@ -177,14 +271,14 @@ def test_no_cross_joins_on_cells(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["events_table", "frame_components", "overlap_iou", "track_labels", "relabel_overlap", "polygon_mask", "reproject_bilinear"])
+@pytest.mark.parametrize("name", ["events_table", "frame_components", "overlap_iou", "track_labels", "relabel_overlap", "polygon_mask", "reproject_bilinear", "events_windowed", "fill_small_holes", "project_raster", "project_back", "labels_back", "input_path", "extended_batches", "saved_events", "full_label_map", "label_places", "box_text", "all_codes"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     db.execute(f"create view events as select * from '{DATA}/events.parquet'")
     want = db.execute(oracles.SQL[name])
     names = sorted(d[0] for d in want.description)
     at = [[d[0] for d in want.description].index(n) for n in names]
-    tidy = lambda rows: sorted(tuple(round(float(v), 3) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    tidy = lambda rows: sorted((tuple(round(float(v), 3) if isinstance(v, float) else str(v) for v in r) for r in rows), key=str)
     expected = tidy([tuple(r[i] for i in at) for r in want.fetchall()])
     got = tidy(queries.QUERIES[name](spark, DATA).select(*names).collect())
     assert got == expected
