@@ -175,7 +175,7 @@ def _slim(texts: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFra
                 )
         tidy()
 
-    return texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, _SLIM)
+    return texts.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), "text").mapInArrow(run, _SLIM)
 
 
 def _parts(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -214,7 +214,7 @@ def _tiles(classes: DataFrame, percent: int, held) -> DataFrame:
 
 
 def _neighbours(percent: int):
-    """Links of sorted (look, least, class, set): each set is held against the last BEFORE with the same least shingle that aren't joined to it already."""
+    """Links of sorted (least, class, set): each set is held against the last BEFORE with the same least shingle that aren't joined to it already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}  # of sets met so far
@@ -228,9 +228,9 @@ def _neighbours(percent: int):
         key, held = None, deque(maxlen=BEFORE)
         for batch in batches:
             found = []
-            for look, least, own, stored in zip(*(batch.column(c).to_pylist() for c in ("look", "least", "class", "set")), strict=True):
-                if (look, least) != key:
-                    key = look, least
+            for least, own, stored in zip(*(batch.column(c).to_pylist() for c in ("least", "class", "set")), strict=True):
+                if least != key:
+                    key = least
                     held.clear()
                     if len(parent) > JOINED:
                         parent.clear()
@@ -406,7 +406,7 @@ def _linked(percent: int):
 
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """The sorted arrays of some classes, read from one text of each. Texts aren't shuffled, sets are."""
-    texts = KeyFilter(wanted, "text_key").inside(texts.select("text", F.xxhash64("text").alias("text_key")))
+    texts = KeyFilter(wanted, "text_key").inside(texts.select("text", F.xxhash64("doc_id", "text").alias("text_key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,7 +416,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "set"])
         tidy()
 
-    # Exact copies have one text key; their first set is each one's.
+    # Repeated rows have one text key.
     return wanted.join(texts.select("text_key", "text").mapInArrow(run, "text_key long, set binary").dropDuplicates(["text_key"]), "text_key").select("class", "set")
 
 
@@ -438,14 +438,20 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int
     classes = written(slim.where("n > 0").groupBy("class").agg(*first, F.min("text_key").alias("text_key")), "classes")
     slight = classes.select("class", "n", "bits")
 
-    # The first round. Neighbours differ from order to order; ranges hold parts of a group where it is large.
-    looks = classes.select(F.posexplode("least").alias("look", "least"), "class")
-    alike = looks.groupBy("look", "least").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    looks = written(looks.join(alike, ["look", "least"], "left_semi").withColumn("order", F.xxhash64("look", "class")), "looks")
-    wanted = classes.select("class", "text_key").join(looks.select("class").distinct(), "class", "left_semi")
-    rows = looks.join(_sets(texts, written(wanted, "wanted"), n), "class").repartitionByRange(partitions(spark), "look", "least", "order").sortWithinPartitions("look", "least", "order")
-    quick = written(rows.select("look", "least", "class", "set").mapInArrow(_neighbours(percent), "a long, b long"), "quick")
-    roots = written(connected_components(quick).select(F.col("node").alias("class"), "root"), "roots")
+    # The first round. Neighbours differ from order to order; ranges hold parts of a group where it is large. A later look has only
+    # groups that the ones before it have not joined, so most sets move once.
+    looks = written(classes.select(F.posexplode("least").alias("look", "least"), "class"), "looks")
+    quick, roots = None, None
+    for look in range(LOOKS):
+        own = looks.where(F.col("look") == look).select("least", "class")
+        own = own.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")) if roots is not None else own.withColumn("root", F.col("class"))
+        apart = own.groupBy("least").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        own = written(own.join(apart, "least", "left_semi").select("least", "class", F.xxhash64(F.lit(look), "class").alias("order")), "look")
+        wanted = written(classes.select("class", "text_key").join(own.select("class"), "class", "left_semi"), "wanted")
+        rows = own.join(_sets(texts, wanted, n), "class").repartitionByRange(partitions(spark), "least", "order").sortWithinPartitions("least", "order")
+        found = written(rows.select("least", "class", "set").mapInArrow(_neighbours(percent), "a long, b long"), "quick")
+        quick = found if quick is None else quick.unionAll(found)
+        roots = written(connected_components(quick).select(F.col("node").alias("class"), "root"), "roots")
 
     # The second round.
     shared = written(_tiles(classes, percent, heavy).groupBy("tile").applyInArrow(_shared(heavy), "h long, class long, size int"), "shared")
