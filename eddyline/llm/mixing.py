@@ -87,10 +87,9 @@ def _stream(weights: Mapping[str, int]) -> Column:
     return F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST)
 
 
-def _placed(rows: DataFrame, plan: DataFrame, block: Column) -> DataFrame:
-    """Rows with the part of the plan that holds for their ``block``. The plan has at most (number of weights) x (sum of weights) x phases rows, whatever the input."""
-    m = block - F.col("first")
-    return rows.join(F.broadcast(plan), (F.col("__stream") == F.col("__s")) & (block >= F.col("first")) & (block < F.col("end")) & (m % F.col("weight") == F.col("k"))).withColumn("__base", F.col("at") + F.floor(m / F.col("weight")).cast("long") * F.col("period"))
+def _phased(rows: DataFrame, plan: DataFrame, block: Column) -> DataFrame:
+    """Rows with the phase of their stream that a block falls into. A stream has a row in it for each phase: no more than there are weights, squared."""
+    return rows.join(F.broadcast(plan), (F.col("__stream") == F.col("__s")) & (block >= F.col("first")) & (block < F.col("end"))).withColumn("__m", block - F.col("first"))
 
 
 def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, keep: bool = False, key: str | None = None) -> DataFrame:
@@ -107,16 +106,17 @@ def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, ke
     rows = docs.select(*([whole_row()] if keep else []), F.col("doc_id").cast("long").alias("__doc"), F.col("source").cast("string").alias("__source"), _stream(weights).alias("__stream"), (F.col(key) if key else rank_key()).alias("__key"))
     totals = {r[0]: r[1] for r in docs.select(_stream(weights).alias("s")).groupBy("s").count().collect()}  # one row a weight at most
     phases_ = phases({s: -(-n // block) for s, n in totals.items()}, weights)
-    plan = spark.createDataFrame(
-        [(s, a, b, at, w, p, k, slot, r, d) for s, a, b, at, w, p, own in phases_ for k, (slot, r, d) in enumerate(own)],
-        "__s string, first long, end long, at long, weight long, period long, k long, in_period long, r long, d long",
-    )
+    plan = spark.createDataFrame([(s, i, a, b, at, w, p) for i, (s, a, b, at, w, p, _) in enumerate(phases_)], "__s string, phase int, first long, end long, at long, weight long, period long")
+    # At most (number of weights) x (sum of weights) x phases rows, whatever the input.
+    due = spark.createDataFrame([(i, k, slot, r, d) for i, (*_, own) in enumerate(phases_) for k, (slot, r, d) in enumerate(own)], "__phase int, k long, in_period long, r long, d long")
     parts, slots = partitions(spark), max(1, sum(-(-n // block) for n in totals.values()))
     size = F.element_at(F.create_map(*(F.lit(x) for pair in totals.items() for x in pair)), F.col("__stream")) if totals else F.lit(1)
     share = F.col("__key") / F.lit(2.0**64) + F.lit(0.5)
     about = F.least(F.floor(share * size), size - 1).cast("long")
-    rows = _placed(rows, plan, F.floor(about / block).cast("long"))
-    rows = rows.withColumn("__part", F.floor((F.col("__base") + F.col("in_period")) * parts / slots).cast("int")).drop(*plan.columns, "__base")
+    # A block's release time rises with it, and no slot is earlier.
+    rows = _phased(rows, plan, F.floor(about / block).cast("long"))
+    release = F.col("at") + F.floor(F.col("__m") * F.col("period") / F.col("weight")).cast("long")
+    rows = rows.withColumn("__part", F.floor(release * parts / slots).cast("int")).drop(*plan.columns, "__m")
     # As many rows as streams and partitions.
     counts = rows.groupBy("__stream", "__part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("__stream").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
@@ -124,9 +124,11 @@ def schedule(docs: DataFrame, weights: Mapping[str, int], block: int = BLOCK, ke
     rank = F.row_number().over(Window.partitionBy("__part", "__stream").orderBy("__key", "__doc"))
     ranked = rows.repartitionById(parts, F.col("__part")).withColumn("__n", rank).join(F.broadcast(offsets), (F.col("__stream") == F.col("__os")) & (F.col("__part") == F.col("__op")))
     ranked = ranked.withColumn("__rank", F.col("__offset") + F.col("__n") - 1).withColumn("block", F.floor(F.col("__rank") / block).cast("long"))
-    slot = F.col("__base") + F.col("in_period")
-    return _placed(ranked, plan, F.col("block")).select(
-        *(["row"] if keep else []), F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__stream").alias("stream"), F.col("block"), slot.alias("slot"), (F.col("__base") + F.col("r")).alias("release"), (F.col("__base") + F.col("d")).alias("deadline"),
+    placed = _phased(ranked, plan, F.col("block")).join(F.broadcast(due), (F.col("phase") == F.col("__phase")) & (F.col("__m") % F.col("weight") == F.col("k")))
+    base = F.col("at") + F.floor(F.col("__m") / F.col("weight")).cast("long") * F.col("period")
+    slot = base + F.col("in_period")
+    return placed.select(
+        *(["row"] if keep else []), F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__stream").alias("stream"), F.col("block"), slot.alias("slot"), (base + F.col("r")).alias("release"), (base + F.col("d")).alias("deadline"),
         (slot * block + F.col("__rank") % block).alias("position"),
     )
 

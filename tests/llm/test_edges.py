@@ -158,3 +158,31 @@ def test_pipeline_sequences_follow_weights(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(packing.pack_documents, "__defaults__", (packing.SIZE, 64, packing.MERGED, None))
     assert abs(early(1, 1) - 1 / 2) < 0.1 and abs(early(3, 1) - 1 / 4) < 0.1 and abs(early(1, 3) - 3 / 4) < 0.1
+
+
+def test_pipeline_on_an_empty_table(spark, docs, tmp_path):
+    docs.where("doc_id < -1").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, kept, str(tmp_path))
+        assert out.count() == 0 and (name == "pack" or out.columns == docs.columns), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10))) for _ in range(5000)]
+    long = [rng.choice(words) for _ in range(250_000)]
+    text = " ".join(long) + " mail a@b.com\nLicensed under the Apache License, Version 2.0\n"
+    table = spark.createDataFrame([(1, text, "a", 1), (2, text, "a", 2), (3, "x" * 1_000_000, None, 3), (4, "a b", "b", 4)], "doc_id long, text string, source string, n int")
+    n = len(WORD.findall(text))
+    one = lambda df: {r["doc_id"]: r for r in df.collect()}
+    assert one(transport.transport_digests(table))[1].n_bytes == len(text) and one(exact_dedup.exact_duplicates(table))[1].keep_id == 2
+    near, cut = one(jaccard.near_duplicates(table)), one(substring_dedup.remove_repeats(table))
+    assert near[2].component_id == 1 and near[1].n_shingles > 249_000 and (cut[1].n_removed, cut[2].n_removed, cut[2].n_words) == (0, n, n)
+    assert one(quality.classify(table))[1].score == one(quality.classify(table))[2].score and one(licences.scan(table))[1].licences == ["Apache-2.0"]
+    found = one(pii.span_digests(table))
+    assert found[1].n_email == 1 and found[1].n_spans == 1 and found[3].n_spans == 0
+    assert mixing.schedule(table, WEIGHTS).count() == 4
+    packed = packing.pack_documents(table, tokenizer_path()).toPandas()
+    assert set(packed["doc_id"]) == {1, 2, 3, 4} and (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
