@@ -12,6 +12,7 @@ a larger one shrinks by rounds until a round changes nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from eddyline.sources.scratch import written
 SMALL = 300_000
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], most: int | None = None, roots: bool = False) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) with those of one component led to its smallest node; with ``roots`` that one too, to itself. Beyond ``most`` nodes what is known goes out."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -35,7 +37,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         pairs = [(x, root(x)) for x in list(parent)]
-        pairs = [p for p in pairs if p[0] != p[1]]
+        pairs = pairs if roots else [p for p in pairs if p[0] != p[1]]
         parent.clear()
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
 
@@ -44,7 +46,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 2 * SMALL:
+        if most is not None and len(parent) > most:
             yield flush()
     yield flush()
 
@@ -55,13 +57,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
     Nodes without such an edge are absent: each is its own component.
     """
     found = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where(F.col("u") != F.col("v"))
-    found = written(found.mapInArrow(_contract, "u long, v long"), "edges")
+    found = written(found.mapInArrow(partial(_contract, most=2 * SMALL), "u long, v long"), "edges")
     before = None
     while True:
         if found.limit(small + 1).count() <= small:
-            settled = found.coalesce(1).mapInArrow(_contract, "u long, v long")
-            found = written(settled, "settled")
-            break
+            settled = found.coalesce(1).mapInArrow(partial(_contract, roots=True), "u long, v long")
+            return settled.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # Large star: each neighbour above u goes to the smallest of u and its neighbours.
         both = found.unionAll(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
