@@ -70,8 +70,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
         # Small star: u and its neighbours below go to the smallest of them.
         large = written(large, "star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        found = written(small.distinct(), "edges")
+        lower = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        found = written(lower.distinct(), "edges")
         now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == before:
             break

@@ -34,14 +34,31 @@ def dissolved(regions: DataFrame, codes: list[str]) -> DataFrame:
     return regions.where(F.col("region").isin(codes)).select("yi", "xi").distinct()
 
 
+def _edges(rings: DataFrame) -> DataFrame:
+    """(region, x1, y1, x2, y2) of closed rings."""
+    edge = F.explode(F.transform(F.sequence(F.lit(1), F.size("ring")), lambda i: F.struct(F.element_at("ring", i).alias("p"), F.element_at("ring", F.when(i == F.size("ring"), 1).otherwise(i + 1)).alias("q"))))
+    return rings.select("region", edge.alias("e")).select("region", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
+
+
+def touched_cells(rings: DataFrame, x0: float, dx: float, y0: float, dy: float, height: int, width: int) -> DataFrame:
+    """(region, yi, xi) of the cells that a ring's edges go through: cells are dx by dy around centres from (x0, y0). Each edge is cut into the rows that it spans, each part into columns."""
+    scaled = _edges(rings).select("region", *(((F.col(c) - o) / d).alias(c) for c, o, d in (("x1", x0, dx), ("x2", x0, dx), ("y1", y0, dy), ("y2", y0, dy))))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = scaled.withColumns({"low": low, "high": high}).withColumn("yi", F.explode(F.sequence(F.floor(F.col("low") + 0.5).cast("int"), F.floor(F.col("high") + 0.5).cast("int"))))
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    first, last = at(F.greatest("low", F.col("yi") - 0.5)), F.when(F.col("y1") == F.col("y2"), F.col("x2")).otherwise(at(F.least("high", F.col("yi") + 0.5)))
+    columns = F.sequence(F.floor(F.least(first, last) + 0.5).cast("int"), F.floor(F.greatest(first, last) + 0.5).cast("int"))
+    cells = rows.select("region", "yi", F.explode(columns).alias("xi"))
+    return cells.where(F.col("yi").between(0, height - 1) & F.col("xi").between(0, width - 1)).distinct()
+
+
 def polygon_cells(points: DataFrame, rings: DataFrame) -> DataFrame:
     """(region, yi, xi) of points (yi, xi, x, y) inside rings (region, ring: array<struct<x, y>>), by the even-odd rule.
 
     An edge meets the rows of points whose y it spans: edges are joined to the grid's row axis, then to
     its points by row number, so no point is held against an edge of another row.
     """
-    edge = F.explode(F.transform(F.sequence(F.lit(1), F.size("ring")), lambda i: F.struct(F.element_at("ring", i).alias("p"), F.element_at("ring", F.when(i == F.size("ring"), 1).otherwise(i + 1)).alias("q"))))
-    edges = rings.select("region", edge.alias("e")).select("region", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")).where("y1 <> y2")
+    edges = _edges(rings).where("y1 <> y2")
     rows = points.select("yi", "y").distinct()
     crossing = edges.join(rows, (F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
     crossing = crossing.select("region", "yi", (F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("cut"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .queries import RING
+from .queries import HOLE, PART, RING
 
 #: Tables in the order in which they may build on each other.
 TABLES = {
@@ -128,7 +128,13 @@ def sql(last: str, windows: bool = False, gate: str = GATE) -> str:
 
 _T = "d + 19723 as t"
 _YX = "y as yi, x as xi"
-_RING = ", ".join(f"({x1}, {y1}, {x2}, {y2})" for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1], strict=True))
+
+
+def _edges(*rings) -> str:
+    return ", ".join(f"({x1}::double, {y1}::double, {x2}::double, {y2}::double)" for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+_RING = _edges(RING)
 _EVENTS = "select id, n as serial, label, st + 19723 as start_t, e + 19723 as end_t, cast(cast(date '2024-01-01' + st as date) as varchar) as start, cast(cast(date '2024-01-01' + e as date) as varchar) as \"end\", px as pixel_sum, px * 100 as area_km2 from ev"
 _CHANGES = "select d, label, sz, coalesce(nx, 0) nx, coalesce(i, 0) i from lsize left join (select d - 1 d, label, sz nx from lsize) using (d, label) left join lself using (d, label)"
 
@@ -184,6 +190,13 @@ SQL = {
     "appended_days": sql("select d + 19723 as t, cast(sum(v) as bigint) as total from ras group by 1"),
     "extended_batches": sql(f"select {_T}, {_YX}, label from stitched", True),
     "nearest_rows": sql(f"select {_T}, {_YX}, cast(y * 2.5 - 20 as double) as lat, v as value from ras where has and y = (select y from ras where has order by abs(y * 2.5 - 20 - 7.1), y limit 1)"),
+    "stream_tracks": sql(f"select {_T}, c as component, label, sz as size from tr where c >= 0"),
+    "vector_mask": f"""with c as (select cast(unnest(range(24)) as int) y), b as (select cast(unnest(range(24)) as int) x), e(x1, y1, x2, y2) as (values {_edges(RING, HOLE, PART)}),
+        i as (select y, x from c, b join e on y >= least(y1, y2) and y < greatest(y1, y2) and x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x group by 1, 2 having count(*) % 2 = 1),
+        -- An edge meets a cell where the stretches of it between the cell's sides overlap.
+        s as (select y, x, (x - 0.5 - x1) / (x2 - x1) a, (x + 0.5 - x1) / (x2 - x1) a2, (y - 0.5 - y1) / (y2 - y1) b, (y + 0.5 - y1) / (y2 - y1) b2 from c, b, e),
+        u as (select distinct y, x from s where greatest(least(a, a2), least(b, b2), 0) <= least(greatest(a, a2), greatest(b, b2), 1))
+        select 'A' as region, coalesce(i.y, u.y) as yi, coalesce(i.x, u.x) as xi, case when i.y is null then 0 else 1 end as inside, case when u.y is null then 0 else 1 end as touched from i full join u on i.y = u.y and i.x = u.x""",
     "affine_corners": "select 3.0::double as a, 0.0::double as b, -31.5::double as c, 0.0::double as d, 2.5::double as e, -21.25::double as f",
     "all_codes": sql("select distinct b.d + 19723 as t, a.c as prev, b.c as cur, (a.c + b.c) * (a.c + b.c + 1) // 2 + b.c as code from csize a join csize b on b.d = a.d + 1"),
     "dissolved_regions": sql(f"select {_T}, {_YX} from mask where y // 6 = 0 or x // 6 = 2"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from eddyline.config import Settings
 from eddyline.functions import scalars
 from eddyline.operators import components, events, grid, overlay, tracking, windows
 from eddyline.plans import analysis
-from eddyline.sources import raster, store
+from eddyline.sources import raster, store, vector
 from eddyline.sources.scratch import scratch_path, written
+from eddyline.streaming import tracker
 
 SIDE, DAYS = 24, 30
 #: 2024-01-01 in days since 1970-01-01.
@@ -23,6 +26,7 @@ LAT, LON, CELL = (-20.0, 2.5), (-30.0, 3.0), 400_000.0
 #: File names to be read, and a polygon.
 NAMES = ("EV_000012_JAN_2018", "out/EV_2019_x-y_z.nc", "mhw_2018.nc", "mhw 1999.nc", "none", "a_77_b_2020_c_d")
 RING = ((2.2, 1.3), (20.6, 4.1), (17.4, 21.7), (9.5, 12.4), (3.1, 19.8))
+HOLE, PART = ((12.3, 6.2), (15.7, 7.1), (14.2, 9.6)), ((20.3, 19.2), (23.1, 19.7), (22.2, 22.8))
 
 
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +285,30 @@ def labels_nearest(spark, sf_dir):
     return grid.carried(cells, grid.nearest_cells(coarse, 0, 1, 0, 1, SIDE, SIDE))
 
 
+def vector_mask(spark, sf_dir):
+    """The polygon with a hole in it, and a second part of its region, read from a vector file; with the cells that edges touch."""
+    path = scratch_path(spark, "vector")
+    shape = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"code": "A"}, "geometry": {"type": "Polygon", "coordinates": [[list(p) for p in RING], [list(p) for p in HOLE]]}},
+        {"type": "Feature", "properties": {"code": "A"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[list(p) for p in PART]]]}},
+    ]}
+    spark.createDataFrame([(json.dumps(shape),)], "value string").coalesce(1).write.text(path)
+    rings = vector.rings(spark, path, "code")
+    points = raster.spine(spark, 0, 0, SIDE, SIDE).select("yi", "xi", F.col("xi").cast("double").alias("x"), F.col("yi").cast("double").alias("y"))
+    inside, touched = overlay.polygon_cells(points, rings), overlay.touched_cells(rings, 0, 1, 0, 1, SIDE, SIDE)
+    return inside.withColumn("inside", F.lit(1)).join(touched.withColumn("touched", F.lit(1)), ["region", "yi", "xi"], "full").fillna(0, ["inside", "touched"])
+
+
+def stream_tracks(spark, sf_dir):
+    """The tracker on a stream of frames, which gives the labels of the batch."""
+    path, own = scratch_path(spark, "stream"), written(mask(spark, sf_dir), "mask")
+    own.select(F.lit("r").alias("region"), "t", "yi", "xi").coalesce(1).write.parquet(f"{path}/in")
+    frames = spark.readStream.schema("region string, t int, yi int, xi int").parquet(f"{path}/in")
+    runs = tracker.track_stream(frames, SIDE, SIDE, SETTINGS.frame_cells)
+    runs.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return _labels(spark.read.parquet(f"{path}/out"))
+
+
 def _located(df: DataFrame) -> DataFrame:
     return df.withColumn("lat", F.col("yi") * LAT[1] + LAT[0]).withColumn("lon", F.col("xi") * LON[1] + LON[0])
 
@@ -401,7 +429,7 @@ QUERIES = {
         overlap_pairs, overlap_iou, pair_diagnostics, cantor_roundtrip, track_labels, track_labels_legacy, dust_volume, components_3d, renumber_labels, window_assign,
         window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
         fill_small_holes, period_overlay, mask_join, event_values, polygon_mask, centroids, value_range, frame_norm, file_name_parts, month_batches, sinusoidal_xy,
-        reproject_bilinear, labels_nearest, label_places, box_text, input_path, preprocess_province, project_raster, project_back, labels_back, saved_windows, named_tables,
+        reproject_bilinear, labels_nearest, stream_tracks, vector_mask, label_places, box_text, input_path, preprocess_province, project_raster, project_back, labels_back, saved_windows, named_tables,
         saved_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
     )
 }
