@@ -154,16 +154,18 @@ class KeyFilter:
         table[np.asarray(found.column("word"))] = np.asarray(found.column("set"))
         self.held = keys.sparkSession.sparkContext.broadcast(table)
 
-    def _maybe(self) -> F.Column:
-        held = self.held
+    def places(self) -> F.Column:
+        """A row's bits, for ``hit`` inside of a function that Python runs anyway."""
+        return F.array(*(F.pmod(F.xxhash64(self.column, F.lit(k)), F.lit(self.bits)) for k in range(self.PROBES)))
 
-        @F.arrow_udf("boolean")
-        def known(places: pa.Array) -> pa.Array:
-            at = np.asarray(places.flatten())
-            hit = (held.value[at >> 6] >> (at & 63)) & 1
-            return pa.array(hit.reshape(-1, KeyFilter.PROBES).all(1))
+    def hit(self, places: pa.Array) -> np.ndarray:
+        """Whether rows with these ``places`` may have one of the keys."""
+        at = np.asarray(places.flatten())
+        return ((self.held.value[at >> 6] >> (at & 63)) & 1).reshape(-1, self.PROBES).all(1)
 
-        return known(F.array(*(F.pmod(F.xxhash64(self.column, F.lit(k)), F.lit(self.bits)) for k in range(self.PROBES))))
+    def _maybe(self) -> F.Column:
+        known = F.arrow_udf(lambda places: pa.array(self.hit(places)), "boolean")
+        return known(self.places())
 
     def inside(self, rows: DataFrame) -> DataFrame:
         """Rows that may have one of the keys."""

@@ -406,18 +406,19 @@ def _linked(percent: int):
 
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """The sorted arrays of some classes, read from one text of each. Texts aren't shuffled, sets are."""
-    texts = KeyFilter(wanted, "text_key").inside(texts.select("text", F.xxhash64("doc_id", "text").alias("text_key")))
+    known = KeyFilter(wanted, "text_key")
+    texts = texts.select("text", F.xxhash64("doc_id", "text").alias("text_key")).withColumn("places", known.places())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text"):
+            for part in cut(batch.filter(pa.array(known.hit(batch.column("places")))), "text"):
                 values, starts = shingles(Words(part.column("text"), lower=True), n)
                 own = [values[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "set"])
         tidy()
 
     # Repeated rows have one text key.
-    return wanted.join(texts.select("text_key", "text").mapInArrow(run, "text_key long, set binary").dropDuplicates(["text_key"]), "text_key").select("class", "set")
+    return wanted.join(texts.select("text_key", "text", "places").mapInArrow(run, "text_key long, set binary").dropDuplicates(["text_key"]), "text_key").select("class", "set")
 
 
 def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -373,9 +373,12 @@ def _covered(n: int, ranges: list, window: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _cleaned(window: int, text_too: bool):
+def _cleaned(window: int, text_too: bool, known: KeyFilter | None = None):
+    """Texts without what their ``ranges`` cover; with ``known``, all of those texts that have no ranges for sure."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(~known.hit(batch.column("places")))) if known else batch
             for part in cut(batch, "text"):
                 ranges = part.column("ranges").to_pylist() if "ranges" in part.schema.names else [None] * part.num_rows
                 rows = []
@@ -401,7 +404,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     known = KeyFilter(spans, "key")
     ddl, run = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", _cleaned(window, text_too)
     touched = known.inside(rows).join(spans, ["doc", "key"], "left").select("doc_id", "text", "ranges").mapInArrow(run, ddl)
-    out = touched.unionAll(known.outside(rows).select("doc_id", "text").mapInArrow(run, ddl))
+    out = touched.unionAll(rows.select("doc_id", "text", known.places().alias("places")).mapInArrow(_cleaned(window, text_too, known), ddl))
     return out if text_too else out.drop("kept")
 
 
