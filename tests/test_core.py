@@ -249,6 +249,14 @@ def test_saved_events_by_year(spark, tmp_path):
     assert [(r.t, r.yi) for r in one.collect()] == [(1, 2)] and "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spans_and_stretches(spark):
+    df = spark.createDataFrame([(0, 5, 3, 9), (0, 5, 5, 9), (0, 2, 3, 4)], "a int, b int, c int, d int")
+    got = df.select(scalars.shared_days(*map(F.col, "abcd")).alias("x")).collect()
+    assert [r.x and tuple(r.x) for r in got] == [(3, 5), None, None] == [overlap_of_days((r.a, r.b), (r.c, r.d)) for r in df.collect()]
+    one, two = cells(spark, [(0, 0, 0), (0, 1, 1)]), cells(spark, [(1, 1, 0), (1, 0, 1)])
+    assert store.joined(one, two).count() == 4
+
+
 def test_steps():
     from eddyline.plans.timing import Steps
 
