@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, licences, mixing, packing, pii, quality, substring_dedup, transport, url_rules
+from . import clustering, exact_dedup, jaccard, licences, mixing, packing, pii, quality, substring_dedup, transport, url_rules
 from .common import read
 
 #: (host, path, verdict)
@@ -63,9 +63,30 @@ def op10_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op6_weak_quality, op7_licences, op8_substring_dedup, op9_pii, op10_pack)}
+def op13_lloyd(spark, sf_dir):
+    return clustering.clustered(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op6_weak_quality, op7_licences, op8_substring_dedup, op9_pii, op10_pack, op13_lloyd)}
+
+#: One round of op13: vectors to their nearest centroid, then centroids to the floor of the mean.
+_LLOYD = """a{n} as (select r, min(d * 16 + c) p from (select v.r, c, sum((v.q - m.q) * (v.q - m.q)) d from v join c{m} m using (i) group by 1, 2) group by 1),
+        n{n} as (select cast(p % 16 as bigint) c, v.i, cast(sum(v.q) as bigint) s, count(*) n from a{n} join v using (r) group by 1, 2),
+        c{n} as (select c, i, coalesce((s - ((s % n) + n) % n) // n, m.q) q from c{m} m left join n{n} using (c, i)),"""
 
 SQL = {
+    "op13_lloyd": """
+        with k as (select vec_id, cast(embedding as double[]) e, row_number() over () r from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        v as (select vec_id, r, i, cast(floor(e[i] * 64) as bigint) q from (select vec_id, r, e, unnest(range(1, 65)) i from k)),
+        f as (select r, row_number() over (order by sha256('1:' || vec_id)) - 1 c from k qualify c < 16),
+        c0 as (select c, i, q from f join v using (r)),"""
+    + "".join(_LLOYD.format(n=n, m=n - 1) for n in (1, 2, 3))
+    + """
+        a as (select r, min(d * 16 + c) p from (select v.r, c, sum((v.q - m.q) * (v.q - m.q)) d from v join c3 m using (i) group by 1, 2) group by 1),
+        t as (select c, sha256(string_agg(cast(q as varchar), ',' order by i)) x from c3 group by 1)
+        select vec_id, cast(p % 16 as int) as cluster, cast(p // 16 as bigint) as distance, cast(sum(p // 16) over (partition by p % 16) as bigint) as cluster_inertia, cast(sum(p // 16) over () as bigint) as inertia, x as centroid_sha256
+        from a join k using (r) join t on t.c = p % 16""",
     "op3_jaccard_join": r"""
         with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
         s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') x from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) i from d where len(w) > 0)),
