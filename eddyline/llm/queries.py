@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, exact_dedup, jaccard, licences, mixing, packing, periodic, pii, quality, substring_dedup, transport, url_rules
+from . import clustering, exact_dedup, jaccard, licences, mixing, packing, periodic, pii, quality, substring_dedup, toxicity, transport, url_rules
 from .common import read
 
 #: (host, path, verdict)
@@ -63,6 +63,10 @@ def op10_pack(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return periodic.periodic_runs(read(spark, sf_dir, "documents"), planted=True)
 
@@ -71,7 +75,7 @@ def op13_lloyd(spark, sf_dir):
     return clustering.clustered(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op6_weak_quality, op7_licences, op8_substring_dedup, op9_pii, op10_pack, op12_periodic_runs, op13_lloyd)}
+QUERIES = {f.__name__: f for f in (op1_transport, op2_exact_dedup, op3_jaccard_join, op4_url_rules, op5_pfair_mix, op6_weak_quality, op7_licences, op8_substring_dedup, op9_pii, op10_pack, op11_toxicity, op12_periodic_runs, op13_lloyd)}
 
 #: One round of op13: vectors to their nearest centroid, then centroids to the floor of the mean.
 _LLOYD = """a{n} as (select r, min(d * 16 + c) p from (select v.r, c, sum((v.q - m.q) * (v.q - m.q)) d from v join c{m} m using (i) group by 1, 2) group by 1),
