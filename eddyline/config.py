@@ -63,6 +63,30 @@ class Settings:
         return (self.cell_km * self.downsample) ** 2
 
 
+@dataclass(frozen=True)
+class Axis:
+    """A regular axis of cell centres: the first one's coordinate, from one to the next, and how many. A table of cells that is sparse doesn't tell it."""
+
+    start: float
+    step: float
+    size: int
+
+    def __post_init__(self) -> None:
+        if self.step <= 0 or self.size < 0:
+            raise ValueError("an axis rises and has no less than no cells")
+
+    def first(self, low: float) -> int:
+        """The number of the first cell at ``low`` or above; to a thousand-millionth of a cell, however it was computed."""
+        return min(self.size, max(0, math.ceil(round((low - self.start) / self.step, 9))))
+
+    def last(self, high: float) -> int:
+        """The number of the last cell at ``high`` or below; -1 for none."""
+        return max(-1, min(self.size - 1, math.floor(round((high - self.start) / self.step, 9))))
+
+    def at(self, k: int) -> float:
+        return self.start + k * self.step
+
+
 def cells_of_area(area: float, cell_km: float) -> int:
     """How many cells an area in square kilometres takes."""
     return math.ceil(area / cell_km**2)

@@ -25,12 +25,12 @@ def emitted(windowed: DataFrame, windows: DataFrame) -> DataFrame:
     return windowed.join(own, ["window_id", "t"], "left_semi")
 
 
-def label_pairs(cells: DataFrame) -> DataFrame:
-    """Distinct (a, b) of a window's labels and the next one's on the days that both have; a label that meets none is paired with itself.
+def label_pairs(cells: DataFrame, windows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of a window's labels and the next one's on the days that both cover; a label that meets none is paired with itself.
 
-    cells: window_id, t, yi, xi, label.
+    cells: window_id, t, yi, xi, label; windows: window_id, first and last day. A window covers its days whether labels lie on them or not.
     """
-    spans = cells.groupBy("window_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    spans = windows.select("window_id", "first", "last").distinct()  # one row a window
     after = spans.select((F.col("window_id") - 1).alias("window_id"), F.col("first").alias("from_t"))
     before = spans.select((F.col("window_id") + 1).alias("window_id"), F.col("last").alias("to_t"))
     one = cells.join(F.broadcast(after), "window_id").where("t >= from_t").select("window_id", "t", "yi", "xi", F.col("label").alias("a"))
@@ -75,7 +75,3 @@ def resume_day(overlap_last: int, window: int, step: int) -> int:
     """Where a run begins again whose stored overlap ends on a day."""
     return overlap_last - (window - step)
 
-
-def own_label(label, window_id):
-    """A windowed label without its window's space."""
-    return label - window_id.cast("long") * F.lit(SPACE)

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.config import Settings
+from eddyline.config import Axis, Settings
 from eddyline.operators import components, events, tracking, windows
-from eddyline.sources import store
+from eddyline.sources import netcdf, store
 from eddyline.sources.scratch import written
 
 
@@ -62,7 +62,8 @@ def windowed_cells(mask: DataFrame, s: Settings, first_day: int, last_day: int)
 def windowed_labels(mask: DataFrame, s: Settings, first_day: int, last_day: int) -> DataFrame:
     """(t, yi, xi, label) after the windows' labels are reconciled."""
     cells = written(windowed_cells(mask, s, first_day, last_day), "windows")
-    return windows.stitched(cells, windows.label_map(windows.label_pairs(cells)))
+    days = windows.window_days(mask.sparkSession, first_day, last_day, s.window_days, s.step_days)
+    return windows.stitched(cells, windows.label_map(windows.label_pairs(cells, days)))
 
 
 def extended(mask: DataFrame, s: Settings, first_day: int, last_day: int, path: str) -> DataFrame:
@@ -80,7 +81,7 @@ def extended(mask: DataFrame, s: Settings, first_day: int, last_day: int, path:
     cells = components.cells_of(tracked_runs(labelled_frames(mask.where(F.col("t").between(start, last_day)), s), s, todo.select("window_id", "t")))
     store.save_windows(cells.select("window_id", "t", "yi", "xi", "label"), f"{path}/windows")
     stored = spark.read.parquet(f"{path}/windows")
-    pairs = windows.label_pairs(stored.where(F.col("window_id") >= whole))
+    pairs = windows.label_pairs(stored.where(F.col("window_id") >= whole), days)
     known = store.load_state(spark, f"{path}/map") if state is not None else None
     mapping = written(windows.label_map(pairs, known), "map")
     # Of windows that will be computed again nothing is remembered.
@@ -93,12 +94,23 @@ def extended(mask: DataFrame, s: Settings, first_day: int, last_day: int, path:
     return windows.stitched(stored, mapping)
 
 
-def store_events(found: DataFrame, cells: DataFrame, s: Settings, path: str, back: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Store events and their cells (t, yi, xi, serial), after ``back`` has carried them to another grid and small holes are filled."""
+def event_shapes(found: DataFrame, cells: DataFrame, s: Settings, back: Callable[[DataFrame], DataFrame] | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """(id, t, yi, xi) of events from their cells (t, yi, xi, serial), after ``back`` has carried them to another grid, of ``size`` (height, width), and small holes are filled there."""
     labels = cells.select("t", "yi", "xi", F.col("serial").cast("long").alias("label"))
-    filled = components.fill_holes(back(labels) if back else labels, s.height, s.width, s.hole_max)
-    own = filled.join(found.select("id", F.col("serial").cast("long").alias("label")), "label").drop("label")
-    store.save_events(found, own, path)
+    filled = components.fill_holes(back(labels) if back else labels, *(size or (s.height, s.width)), s.hole_max)
+    return filled.join(found.select("id", F.col("serial").cast("long").alias("label")), "label").drop("label")
+
+
+def store_events(found: DataFrame, cells: DataFrame, s: Settings, path: str, back: Callable[[DataFrame], DataFrame] | None = None, size: tuple[int, int] | None = None) -> None:
+    """Store events and their ``event_shapes`` as tables."""
+    store.save_events(found, event_shapes(found, cells, s, back, size), path)
+
+
+def store_event_files(found: DataFrame, cells: DataFrame, s: Settings, path: str, lat: Axis, lon: Axis, back: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Store events as NetCDF files, one an event, named by its id: a byte of 1 for each cell that it covers on a day, on latitude and longitude; identifier, size and cell area as attributes of the file."""
+    told = F.to_json(F.struct(F.col("id").alias("ID"), "pixel_sum", F.lit(s.cell_area).alias("pixel_area_km")))
+    shapes = event_shapes(found, cells, s, back, (lat.size, lon.size)).join(found.select("id", told.alias("attributes")), "id")
+    netcdf.save(shapes.select(F.col("id").alias("file"), "t", "yi", "xi", F.lit(1.0).alias("value"), "attributes"), path, lat, lon, "event", "byte", 0)
 
 
 def windowed_events(mask: DataFrame, s: Settings, first_day: int, last_day: int) -> DataFrame:

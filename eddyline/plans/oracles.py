@@ -61,7 +61,7 @@ TABLES = {
     "pairs": """select distinct coalesce(a.label, b.label) a, coalesce(b.label, a.label) b
         from (select c.* from cells c join wspan n on n.w = c.w + 1 where c.d >= n.lo) a
         full join (select c.w - 1 w, c.d, c.y, c.x, c.label from cells c join wspan n on n.w = c.w - 1 where c.d <= n.hi) b using (w, d, y, x)""",
-    "wspan": "select w, min(d) lo, max(d) hi from cells group by 1",
+    "wspan": "select w, w0 lo, w1 hi from wins",
     "mroot": "select a n, a m from pairs union select b, b from pairs union select case when p.a = l.n then p.b else p.a end, l.m from mroot l join pairs p on p.a = l.n or p.b = l.n",
     "mp": "select n child, min(m) mother from mroot group by 1",
     "stitched": "select d, y, x, min(coalesce(mother, label)) label from cells left join mp on child = label group by 1, 2, 3",
@@ -74,13 +74,14 @@ for _n in _STEPS:
         _text = re.sub(rf"\b(from|join) {_m}\b", rf"\1 st_{_m}", _text)
     TABLES[f"st_{_n}"] = _text
 #: Small holes (ten cells at most) in the labels of a table: free cells next to a label, what ten steps reach from them, and regions that end there.
-for _p, _source in (("k", "select d, c label, y, x from kept"), ("e", "select d, n label, y, x from ecells")):
+_FINE = "select d, n label, a.y, b.x from ecells e join (select cast(unnest(range(30)) as int) y) a on e.y = cast(round_even(a.y * 0.8, 0) as int) join (select cast(unnest(range(30)) as int) x) b on e.x = cast(round_even(b.x * 0.8, 0) as int)"
+for _p, _source, _n in (("k", "select d, c label, y, x from kept", 24), ("e", "select d, n label, y, x from ecells", 24), ("f", _FINE, 30)):
     TABLES |= {
         f"{_p}lab": _source,
-        f"{_p}free": f"select k.d, k.label, b.y, c.x from (select distinct d, label from {_p}lab) k, (select cast(unnest(range(24)) as int) y) b, (select cast(unnest(range(24)) as int) x) c where not exists (select 1 from {_p}lab l where l.d = k.d and l.label = k.label and l.y = b.y and l.x = c.x)",
-        f"{_p}reach": f"""select f.d, f.label, f.y * 24 + f.x r, f.y, f.x, 0 k from {_p}free f join {_p}lab l on l.d = f.d and l.label = f.label and abs(l.y - f.y) + abs(l.x - f.x) = 1
+        f"{_p}free": f"select k.d, k.label, b.y, c.x from (select distinct d, label from {_p}lab) k, (select cast(unnest(range({_n})) as int) y) b, (select cast(unnest(range({_n})) as int) x) c where not exists (select 1 from {_p}lab l where l.d = k.d and l.label = k.label and l.y = b.y and l.x = c.x)",
+        f"{_p}reach": f"""select f.d, f.label, f.y * {_n} + f.x r, f.y, f.x, 0 k from {_p}free f join {_p}lab l on l.d = f.d and l.label = f.label and abs(l.y - f.y) + abs(l.x - f.x) = 1
             union select r.d, r.label, r.r, f.y, f.x, r.k + 1 from {_p}reach r join {_p}free f on f.d = r.d and f.label = r.label and abs(f.y - r.y) + abs(f.x - r.x) = 1 where r.k < 10""",
-        f"{_p}hole": f"select d, label, r from {_p}reach group by 1, 2, 3 having count(distinct y * 24 + x) <= 10",
+        f"{_p}hole": f"select d, label, r from {_p}reach group by 1, 2, 3 having count(distinct y * {_n} + x) <= 10",
         f"{_p}new": f"select d, y, x, max(label) filled from {_p}reach join {_p}hole using (d, label, r) group by 1, 2, 3",
         f"{_p}full": f"select d, y, x, coalesce(filled, label) label from {_p}lab full join {_p}new using (d, y, x)",
     }
@@ -178,7 +179,8 @@ SQL = {
     "box_text": sql("""select id, printf('%d°%s to %d°%s, %d°%s to %d°%s', cast(round_even(abs(a), 0) as int), if(a < 0, 'S', 'N'), cast(round_even(abs(b), 0) as int), if(b < 0, 'S', 'N'), cast(round_even(abs(e), 0) as int), if(e < 0, 'W', 'E'), cast(round_even(abs(f), 0) as int), if(f < 0, 'W', 'E')) as box
         from (select id, min(y * 2.5 - 20) a, max(y * 2.5 - 20) b, min(x * 3.0 - 30) e, max(x * 3.0 - 30) f from ecells group by 1)"""),
     "input_path": sql("""select d + 19723 as t, cast((y - my) // 2 as int) as yi, cast((x - mx) // 2 as int) as xi, cast(y * 2.5 - 20 as double) as lat, cast(x * 3.0 - 30 as double) as lon, cast(v as double) as value
-        from (select *, min(y) over () my, min(x) over () mx from ras where has and d between 5 and 20 and y * 2.5 - 20 between -11 and 20 and x * 3.0 - 30 between -20 and 31) where (y - my) % 2 = 0 and (x - mx) % 2 = 0"""),
+        from ras, (select min(y) my, min(x) mx from spine where y * 2.5 - 20 between -11 and 20 and x * 3.0 - 30 between -20 and 31)
+        where has and d between 5 and 20 and y * 2.5 - 20 between -11 and 20 and x * 3.0 - 30 between -20 and 31 and (y - my) % 2 = 0 and (x - mx) % 2 = 0"""),
     "preprocess_province": sql("select d + 19723 as t, y as yi, x as xi from ras join (POLYGON) p on p.yi = y and p.xi = x where has and v >= 60000"),
     "project_raster": sql("select d + 19723 as t, cast(i as int) as yi, cast(j as int) as xi, round(v, 0) as value from gval"),
     "project_back": sql("select d + 19723 as t, y as yi, x as xi, round(case when sum(w) > 1 - 1e-9 then sum(w * v) end, 0) as value from bw join gval using (i, j) where w > 0 group by 1, 2, 3"),
@@ -186,6 +188,8 @@ SQL = {
     "saved_windows": sql("select w as window_id, d + 19723 as t, count(*) as n from cells group by 1, 2", True),
     "named_tables": sql("select case when d < 10 then 'mask_0_to_9' else 'mask_10_to_19' end as name, count(*) as n from mask where d < 20 group by 1"),
     "saved_events": sql("select id, cast(right(id, 4) as int) as year, d + 19723 as t, y as yi, x as xi from efull join (select id, n from ev) on n = label"),
+    "netcdf_scan": sql("select 'days_' || (d // 10) || '.nc' as file, d + 19723 as t, y as yi, x as xi, y * 2.5::double - 20 as lat, x * 3::double - 30 as lon, v::double as value from ras where has and d between 4 and 23 and y * 2.5 - 20 between -11 and 20 and x * 3.0 - 30 > -18"),
+    "netcdf_events": sql("select id || '.nc' as file, d + 19723 as t, y as yi, x as xi, y * 2::double - 20 as lat, -30 + x * 2.4::double as lon from ffull join (select id, n from ev) on n = label"),
     "newest_year": sql(f"select 2000 + d // 7 as year, {_T}, {_YX}, v as value from ras where has and d // 7 = (select max(d // 7) from ras where has)"),
     "appended_days": sql("select d + 19723 as t, cast(sum(v) as bigint) as total from ras group by 1"),
     "extended_batches": sql(f"select {_T}, {_YX}, label from stitched", True),

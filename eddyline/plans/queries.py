@@ -7,11 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.config import Settings
+from eddyline.config import Axis, Settings
 from eddyline.functions import scalars
 from eddyline.operators import components, events, grid, overlay, tracking, windows
 from eddyline.plans import analysis
-from eddyline.sources import raster, store, vector
+from eddyline.sources import netcdf, raster, store, vector
 from eddyline.sources.scratch import scratch_path, written
 from eddyline.streaming import tracker
 
@@ -23,6 +23,7 @@ LAST = FIRST + DAYS - 1
 SETTINGS = Settings(height=SIDE, width=SIDE, min_days=3, min_area_frame=500, min_area_time=2_000, window_days=12, step_days=9)
 #: Where the raster lies: the first row's and column's degrees, and those from one to the next; metres of a projected cell.
 LAT, LON, CELL = (-20.0, 2.5), (-30.0, 3.0), 400_000.0
+AXES = Axis(*LAT, SIDE), Axis(*LON, SIDE)
 #: File names to be read, and a polygon.
 NAMES = ("EV_000012_JAN_2018", "out/EV_2019_x-y_z.nc", "mhw_2018.nc", "mhw 1999.nc", "none", "a_77_b_2020_c_d")
 RING = ((2.2, 1.3), (20.6, 4.1), (17.4, 21.7), (9.5, 12.4), (3.1, 19.8))
@@ -157,7 +158,7 @@ def window_tracks(spark, sf_dir):
 
 
 def label_pairs(spark, sf_dir):
-    return windows.label_pairs(_windowed(spark, sf_dir))
+    return windows.label_pairs(_windowed(spark, sf_dir), window_assign(spark, sf_dir))
 
 
 def label_map(spark, sf_dir):
@@ -166,12 +167,12 @@ def label_map(spark, sf_dir):
 
 def full_label_map(spark, sf_dir):
     cells = _windowed(spark, sf_dir)
-    return windows.full_map(windows.label_map(windows.label_pairs(cells).where("a <> b")), cells)
+    return windows.full_map(windows.label_map(windows.label_pairs(cells, window_assign(spark, sf_dir)).where("a <> b")), cells)
 
 
 def relabel_overlap(spark, sf_dir):
     cells = _windowed(spark, sf_dir)
-    return windows.stitched(cells, windows.label_map(windows.label_pairs(cells)))
+    return windows.stitched(cells, windows.label_map(windows.label_pairs(cells, window_assign(spark, sf_dir))))
 
 
 def lifetimes(spark, sf_dir):
@@ -324,7 +325,7 @@ def input_path(spark, sf_dir):
     older = own.withColumns({"time": F.date_sub("time", 365), "intensity": F.lit(1.0)})
     path = scratch_path(spark, "yearly")
     own.unionAll(older).withColumn("year", F.year("time")).write.partitionBy("year").parquet(path)
-    return raster.load(spark, path, "intensity", FIRST + 5, FIRST + 20, (-11.0, 20.0, -20.0, 31.0), 2).select("t", "yi", "xi", "lat", "lon", "value")
+    return raster.load(spark, path, "intensity", FIRST + 5, FIRST + 20, (-11.0, 20.0, -20.0, 31.0), 2, AXES).select("t", "yi", "xi", "lat", "lon", "value")
 
 
 def _province(spark):
@@ -381,6 +382,26 @@ def saved_events(spark, sf_dir):
     return spark.read.parquet(f"{path}/event_cells").select("id", "year", "t", "yi", "xi")
 
 
+def netcdf_scan(spark, sf_dir):
+    """The raster as files of ten days each, of which the wanted days and rows are read."""
+    path, own = scratch_path(spark, "netcdf"), smooth(spark, sf_dir)
+    netcdf.save(own.withColumn("file", F.concat(F.lit("days_"), F.expr(f"(t - {FIRST}) div 10"))), path, *AXES, "intensity", "double")
+    df = netcdf.scan(spark, f"{path}/days_*.nc", "intensity", FIRST + 4, FIRST + 23)
+    return df.where(F.col("lat").between(-11.0, 20.0) & (F.col("lon") > -18.0)).select("file", "t", "yi", "xi", "lat", "lon", "value")
+
+
+def netcdf_events(spark, sf_dir):
+    """Events as files on a finer grid, one an event, read back."""
+    own, path = _analysis(spark, sf_dir), scratch_path(spark, "events")
+    lat, lon = Axis(LAT[0], 2.0, 30), Axis(LON[0], 2.4, 30)
+    fine = raster.spine(spark, 0, 0, 30, 30).select("yi", "xi", (F.col("yi") * 0.8).alias("lat"), (F.col("xi") * 0.8).alias("lon"))
+    back = lambda labels: grid.carried(labels, grid.nearest_cells(fine, 0, 1, 0, 1, SIDE, SIDE))
+    analysis.store_event_files(own.found, events.event_cells(components.cells_of(own.tracked), own.found), SETTINGS, path, lat, lon, back)
+    if not own.found.head(1):
+        return spark.createDataFrame([], netcdf.SCHEMA).where("value = 1").drop("value")
+    return netcdf.scan(spark, path, "event").where("value = 1").drop("value")
+
+
 def newest_year(spark, sf_dir):
     return store.newest_year(smooth(spark, sf_dir).withColumn("year", F.expr(f"2000 + (t - {FIRST}) div 7"))).select("year", "t", "yi", "xi", "value")
 
@@ -430,6 +451,6 @@ QUERIES = {
         window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
         fill_small_holes, period_overlay, mask_join, event_values, polygon_mask, centroids, value_range, frame_norm, file_name_parts, month_batches, sinusoidal_xy,
         reproject_bilinear, labels_nearest, stream_tracks, vector_mask, label_places, box_text, input_path, preprocess_province, project_raster, project_back, labels_back, saved_windows, named_tables,
-        saved_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
+        saved_events, netcdf_scan, netcdf_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
     )
 }

@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eddyline.config import Axis
+
 ALIASES = {"latitude": "lat", "longitude": "lon", "time": "date"}
 
 
@@ -22,14 +24,19 @@ def scan(spark: SparkSession, path: str, variable: str, first_year: int | None =
     return df.select(t.cast("int").alias("t"), "yi", "xi", *places, F.when(~F.isnan(value), value).alias("value"))
 
 
-def load(spark: SparkSession, path: str, variable: str, first: int, last: int, area: tuple[float, float, float, float] | None = None, step: int = 1) -> DataFrame:
-    """One variable of the days first..last, of an area (lat_min, lat_max, lon_min, lon_max), and every step-th row and column of it. Rows and columns count from the area's first."""
+def load(spark: SparkSession, path: str, variable: str, first: int, last: int, area: tuple[float, float, float, float] | None = None, step: int = 1, axes: tuple[Axis, Axis] | None = None) -> DataFrame:
+    """One variable of the days first..last, of an area (lat_min, lat_max, lon_min, lon_max), and every step-th row and column of it.
+
+    Rows and columns count from the area's first, which ``axes`` (lat, lon) tell: a table has no row for a cell without a value, so
+    what happens to be present on some days doesn't.
+    """
     years = [(date(1970, 1, 1) + timedelta(days=t)).year for t in (first, last)]
     df = days(scan(spark, path, variable, *years), first, last)
     if area is not None:
+        if axes is None:
+            raise ValueError("an area's first row and column take the axes")
         df = box(df, *area)
-        y, x = df.agg(F.min("yi"), F.min("xi")).head()  # one row
-        df = df.withColumns({"yi": (F.col("yi") - F.lit(y)).cast("int"), "xi": (F.col("xi") - F.lit(x)).cast("int")})
+        df = df.withColumns({name: (F.col(name) - axis.first(low)).cast("int") for name, axis, low in (("yi", axes[0], area[0]), ("xi", axes[1], area[2]))})
     return thinned(df, step) if step > 1 else df
 
 

@@ -300,3 +300,27 @@ def test_against_sql(spark, name):
     expected = tidy([tuple(r[i] for i in at) for r in want.fetchall()])
     got = tidy(queries.QUERIES[name](spark, DATA).select(*names).collect())
     assert got == expected
+
+
+def test_stride_counts_from_the_axis(spark, tmp_path):
+    # Day 10 has rows 1 to 5, day 11 rows 0 to 5: both days keep rows 0, 2 and 4 of the axis.
+    from eddyline.config import Axis
+
+    rows = [(t, y, 0, float(y), 0.0, 1.0) for t in (10, 11) for y in range(6) if (t, y) != (10, 0)]
+    spark.createDataFrame(rows, "t int, yi int, xi int, lat double, lon double, v double").write.parquet(f"{tmp_path}/r")
+    axes = Axis(0.0, 1.0, 6), Axis(0.0, 1.0, 1)
+    got = lambda first, last: {(r.t, r.yi, r.lat) for r in raster.load(spark, f"{tmp_path}/r", "v", first, last, (0.0, 5.0, 0.0, 0.0), 2, axes).collect()}
+    assert got(10, 10) == {(10, 1, 2.0), (10, 2, 4.0)}
+    assert got(10, 11) == {(10, 1, 2.0), (10, 2, 4.0), (11, 0, 0.0), (11, 1, 2.0), (11, 2, 4.0)}
+    assert (axes[0].first(1.5), axes[0].first(2.0), axes[0].last(4.9), axes[0].last(-1), axes[0].first(99)) == (2, 2, 4, -1, 6)
+    with pytest.raises(ValueError):
+        raster.load(spark, f"{tmp_path}/r", "v", 10, 11, (0.0, 5.0, 0.0, 0.0), 2)
+
+
+def test_windows_cover_days_without_labels(spark):
+    # Windows 0 (days 0..6) and 1 (days 5..9): a cell on day 5 in the one, on day 6 in the other; both days are shared.
+    own = spark.createDataFrame([(0, 5, 0, 0, 1), (1, 6, 0, 0, 2)], "window_id int, t int, yi int, xi int, label long")
+    days = spark.createDataFrame([(0, 0, 6), (1, 5, 9)], "window_id int, first int, last int")
+    assert {tuple(r) for r in windows.label_pairs(own, days).collect()} == {(1, 1), (2, 2)}
+    same = spark.createDataFrame([(0, 5, 0, 0, 1), (1, 5, 0, 0, 2), (0, 2, 0, 0, 7), (1, 9, 0, 0, 8)], "window_id int, t int, yi int, xi int, label long")
+    assert {tuple(r) for r in windows.label_pairs(same, days).collect()} == {(1, 2)}
