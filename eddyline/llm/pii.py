@@ -43,28 +43,31 @@ DIGITS = r"[0-9][0-9 .()-]{5,}[0-9]"
 #: What a text must have for a pattern to be tried at all: a character, or (in parentheses) a pattern.
 NEEDS = {"email": "@", "ip": f"({DIGITS})", "card": f"({DIGITS})", "phone": "+"}
 AT, DOT = r"(?:\(at\)|\[at\]|\{at\}| at )", r"(?:\(dot\)|\[dot\]|\{dot\}| dot |\.)"
-#: High-recall generators of candidates: kind, pattern, what a text must have.
+#: High-recall generators of candidates: kind, pattern, what a text must have. Runs are taken whole, whatever their length.
 GENERATORS = (
-    ("email", rf"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}+ ?{AT} ?[A-Za-z0-9-]{{1,63}}(?: ?{DOT} ?[A-Za-z0-9-]{{1,63}}){{1,4}}", rf"((?i)[ (\[{{]at[ )\]}}] ?[A-Za-z0-9-]{{1,63}} ?{DOT} ?[A-Za-z0-9-])"),
-    ("email", rf"(?<!{LOCAL}){LOCAL}{{1,64}}+(?: {{1,2}}@ {{0,2}}|@ {{1,2}})[A-Za-z0-9-]{{1,63}}(?: {{0,2}}\. {{0,2}}[A-Za-z0-9-]{{1,63}}){{1,4}}", "@"),
+    ("email", rf"(?i)(?<!{LOCAL}){LOCAL}++ ?{AT} ?[A-Za-z0-9-]++(?: ?{DOT} ?[A-Za-z0-9-]++){{1,4}}", rf"((?i)[ (\[{{]at[ )\]}}] ?[A-Za-z0-9-]{{1,63}} ?{DOT} ?[A-Za-z0-9-])"),
+    ("email", rf"(?<!{LOCAL}){LOCAL}++(?: {{1,2}}@ {{0,2}}|@ {{1,2}})[A-Za-z0-9-]++(?: {{0,2}}\. {{0,2}}[A-Za-z0-9-]++){{1,4}}", "@"),
     ("phone", r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])", f"({DIGITS})"),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)[\x20-]?)?0?[0-9]{6,11}(?![0-9.-])", f"({DIGITS})"),
-    ("phone", r"(?<![0-9+.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9.-])", f"({DIGITS})"),
+    ("phone", r"(?<![0-9+.-])(?:00)?[0-9]{1,4}(?:[\x20.-]\(?[0-9]{2,4}\)?){2,5}(?![0-9.-])", f"({DIGITS})"),
     ("card", r"(?<![0-9-])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9-])", f"({DIGITS})"),
     ("card", r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9-])", f"({DIGITS})"),
-    ("id", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", f"({DIGITS})"),
+    ("id", r"(?<![0-9A-Za-z-])(?:[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}|[0-9]{9}|[A-Z]{1,2}[0-9]{6,8})(?![0-9A-Za-z-])", f"({DIGITS}|[0-9]{{6}})"),
+    ("id", r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?![0-9A-Za-z-])", r"([0-9][./-][0-9]{1,2}[./-][0-9])"),
     ("id", r"(?<![0-9A-Za-z-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z-])", r"([A-Z]{2}[0-9]{2})"),
-    ("secret", r"(?i)\b(?:(?:api|access|secret|private|auth)[_ -]?)?(?:token|secret|key|passwd|password|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;]{6,256}", r"([:=]\s{0,3}[\"']?[^\s\"',;]{6})"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", r"([0-9A-Fa-f]{32})"),
-    ("secret", r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{20,255}|sk-[0-9A-Za-z_-]{20,255}|xox[abp]-[0-9A-Za-z-]{10,255})", r"((?:AKIA|gh[pousr]_|sk-|xox[abp]-)[0-9A-Za-z])"),
+    ("secret", r"(?i)(?<![0-9A-Za-z_-])[0-9A-Za-z_-]*+(?<=token|secret|key|passwd|password|pwd|key_id|key-id)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;]{6,}+", r"([:=]\s{0,3}[\"']?[^\s\"',;]{6})"),
+    ("secret", r"(?i)(?<![0-9A-Za-z])(?:bearer|basic)\s{1,3}[0-9A-Za-z._~+/=-]{16,}+", r"((?i)(?:bearer|basic)\s)"),
+    ("secret", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----BEGIN "),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])", r"([0-9A-Fa-f]{32})"),
+    ("secret", r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:gh[pousr]|github_pat)_[0-9A-Za-z_]{20,}+|sk-[0-9A-Za-z_-]{20,}+|xox[abp]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+(?:\.[0-9A-Za-z_-]++)?+)", r"((?:AKIA|gh[pousr]_|github_pat_|sk-|xox[abp]-|AIza|eyJ)[0-9A-Za-z])"),
 )
 KINDS = ("email", "phone", "card", "id", "secret")
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b[^.]{0,20}$",
-    "phone": r"(?i)\b(?:call|tel|telephone|phone|mobile|cell|fax|dial|ring)\b[^.]{0,20}$",
+    "phone": r"(?i)\b(?:call|tel|telephone|phone|mobile|cell|fax|dial|ring|reach|contact|number|toll-free|whatsapp)\b[^.]{0,20}$",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|pay|paid|charged)\b[^.]{0,20}$",
-    "id": r"(?i)\b(?:ssn|social security|iban|account|passport|tax id)\b[^.]{0,20}$",
-    "secret": r"(?i)\b(?:token|secret|key|passwd|password|pwd|credentials?|auth)\b[^.]{0,20}$",
+    "id": r"(?i)\b(?:ssn|social security|iban|account|passport|tax id|born|birth|birthday|dob|licen[cs]e no)\b[^.]{0,20}$",
+    "secret": r"(?i)\b(?:token|secret|key|passwd|password|pwd|credentials?|auth|authorization)\b[^.]{0,20}$",
 }
 AROUND = 40
 ROUNDS, RATE = 30, 0.3
@@ -166,6 +169,8 @@ def features(kind: str, value: Column, before: Column, after: Column) -> list[Co
         (n.between(12, 19) & F.when(n.between(12, 19), _luhn(digits)).otherwise(False)).cast("int"),
         F.rlike(value, F.lit(r"[0-9][A-Za-z]+[0-9]+[A-Za-z]+[0-9]")).cast("int"),
         F.rlike(value, F.lit(r"[:=]")).cast("int"),
+        F.rlike(value, F.lit(r"^(?:-----BEGIN|eyJ|AIza|github_pat_)")).cast("int"),
+        F.rlike(value, F.lit(r"[0-9]")).cast("int"),
     ]
 
 
@@ -203,6 +208,8 @@ def _forms(i: int) -> list[tuple[str, str, str, str, int]]:
         ("phone", ("scored ", "about ", "from ", "sums of ")[i % 4], f"{num[:2]} {num[2:5]} {num[5:8]}", (" units", " in all", "a")[i % 3], 0),
         ("phone", ("in ", "a total of ", "id ")[i % 3], num[: 7 + i % 4], (" lines", "", " rows")[i % 3], 0),
         ("phone", ("of ", "on ")[i % 2], f"20{num[:2]}-{num[2:4]}-{num[4:6]}", (" it rained", "")[i % 2], 0),
+        ("phone", ("my number is ", "reach us: ", "toll-free ")[i % 3], (f"1-{num[:3]}-{num[3:6]}-{num[6:10]}", f"{num[:3]}.{num[3:6]}.{num[6:10]}", f"0044 {num[:2]} {num[2:6]} {num[6:10]}")[i % 3], (".", "", " any time")[i % 3], 1),
+        ("phone", ("rows ", "between ", "of ")[i % 3], f"{num[0]} {num[1:4]} {num[4:7]} {num[7:10]}", (" bytes", "", " items")[i % 3], 0),
         ("card", ("card ", "charged to ", "")[i % 3], f"{amex[:4]}{mark}{amex[4:10]}{mark}{amex[10:]}", (" expires", "")[i % 2], 1),
         ("card", ("my visa ", "paid with ")[i % 2], _luhn_number(d[:12]), (".", "")[i % 2], 1),
         ("card", ("credit card: ", "mastercard ")[i % 2], fours(good), ("", " ok")[i % 2], 1),
@@ -215,10 +222,19 @@ def _forms(i: int) -> list[tuple[str, str, str, str, int]]:
         ("id", ("IBAN ", "account ", "")[i % 3], f"{('DE', 'FR', 'ES')[i % 3]}{num[:2]} {num[2:6]} {num[6:10]} {num[1:5]} {num[3:7]}", ("", ".")[i % 2], 1),
         ("id", ("to ", "pay into ")[i % 2], f"{('NL', 'GB')[i % 2]}{num[:2]}{('ABNA', 'WEST')[i % 2]}{num[2:6]}{num[6:10]}{num[3:5]}", (" please", "")[i % 2], 1),
         ("id", ("her tax id is ", "my ssn: ")[i % 2], f"{num[4:7]}-{num[1:3]}-{num[7:11]}", (",", "")[i % 2], 1),
+        ("id", ("SSN: ", "social security no ", "her ssn is ")[i % 3], num[:9], (".", "", ",")[i % 3], 1),
+        ("id", ("passport ", "passport no. ", "Passport: ")[i % 3], f"{('C', 'XK', 'P')[i % 3]}{num[: 6 + i % 3]}", ("", ".", " issued")[i % 3], 1),
+        ("id", ("born ", "date of birth: ", "DOB ")[i % 3], (f"19{num[:2]}-0{1 + d[2] % 9}-1{num[3]}", f"1{num[3]}.0{1 + d[2] % 9}.19{num[:2]}", f"0{1 + d[2] % 9}/1{num[3]}/19{num[:2]}")[i // 3 % 3], (".", "", " in")[i % 3], 1),
+        ("id", ("on ", "since ", "posted ", "")[i % 4], (f"20{num[:2]}-0{1 + d[2] % 9}-1{num[3]}", f"1{num[3]}.0{1 + d[2] % 9}.20{num[:2]}", f"0{1 + d[2] % 9}/1{num[3]}/19{num[:2]}")[i // 4 % 3], (".", " it", "")[i % 3], 0),
+        ("id", ("the ", "about ", "row ", "model ")[i % 4], (num[:9], f"{('A', 'TX')[i % 2]}{num[:6]}")[i % 2], (" of", "", " sold")[i % 3], 0),
         ("id", ("item ", "ref ", "invoice ", "order ")[i % 4], f"{num[:3]}-{num[3:5]}-{num[5:9]}", (" blue", "")[i % 2], 0),
         ("id", ("part no. ", "chapter ")[i % 2], f"{num[2:5]}-{num[5:7]}-{num[7:11]}", (" was", "")[i % 2], 0),
         ("secret", ("", "set ", "the ")[i % 3], f"{('token', 'api_key', 'secret')[i % 3]} = {chr(34)}{hexa}", (chr(34), chr(34) + " here")[i % 2], 1),
         ("secret", ("with ", "")[i % 2], f"{('password', 'passwd', 'pwd')[i % 3]}: {mixed[: 9 + i % 9]}", (" then", "")[i % 2], 1),
+        ("secret", ("export ", "", "env: ")[i % 3], f"{('aws_secret_access_key', 'DB_PASSWORD', 'github-token', 'AWS_ACCESS_KEY_ID')[i % 4]}{('=', ' = ', ': ')[i % 3]}{mixed[: 12 + i % 9]}", ("", " end")[i % 2], 1),
+        ("secret", ("Authorization: ", "header ", "with ")[i % 3], f"{('Bearer', 'bearer', 'Basic')[i % 3]} {('eyJ', 'a1', 'Zm9')[i % 3]}{mixed}{num[:4]}", ("", ".")[i % 2], 1),
+        ("secret", ("", "file: ")[i % 2], f"-----BEGIN {('RSA ', '', 'OPENSSH ', 'EC ')[i % 4]}PRIVATE KEY-----", ("", " MII")[i % 2], 1),
+        ("secret", ("the ", "a ")[i % 2], f"basic {('understanding', 'introduction-to', 'characteristics')[i % 3]}{('-of-it', '.', '')[i % 3]}", (" was", "")[i % 2], 0),
         ("secret", ("use ", "found ")[i % 2], f"{('AKIA' + mixed[:16].upper(), 'ghp_' + mixed + mixed[:12], 'sk-' + mixed)[i % 3]}", (" now", "")[i % 2], 1),
         ("secret", ("token ", "auth ")[i % 2], hexa, ("", ".")[i % 2], 1),
         ("secret", ("the ", "a ", "")[i % 3], f"{('key', 'token', 'password')[i % 3]}: {('remember', 'another', 'whatever')[i % 3]}", (" it", " one")[i % 2], 0),
@@ -389,7 +405,7 @@ def _joined(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_spans, personal (whether there is any)."""
     found = find(docs)
 
     def of(spans: Column, kind: str) -> Column:
@@ -397,5 +413,5 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
     n = [F.size(of(F.col("base"), kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
     everything = F.concat(*(F.sort_array(of(F.concat("base", "added"), kind)) for kind in (*BASE, *(k for k in KINDS if k not in BASE))))
-    total = (F.size("base") + F.size("added")).cast("long").alias("n_spans")
-    return found.select("doc_id", *n, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(everything).alias("spans"), total)
+    total = F.size("base") + F.size("added")
+    return found.select("doc_id", *n, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(everything).alias("spans"), total.cast("long").alias("n_spans"), (total > 0).alias("personal"))
