@@ -4,9 +4,10 @@ Pass 1 reads every text once and stores slim rows: doc_id, a key of the text, an
 the normalised text. Each task then sorts the places of all its digests in a Bloom filter
 of one probe and BITS bits a row, and sends them coded by their differences, some two bytes a
 row, to the owners of the filter's parts. What an owner gets twice may be repeated; these
-places make up the second, right-sized filter of several probes.
-Pass 2 probes that filter, in one pass over the slim rows whatever its size: rows outside it
-are unique and pass straight through; only the possible repeats shuffle, on their full SHA-256.
+places make up the second filter, of several probes and of MOST_BYTES at most, whatever the input: where there are
+so many that they have less than SECOND_BITS bits each, more rows count as possible repeats.
+Pass 2 probes that filter, in one pass over the slim rows: rows outside it are unique and pass
+straight through; only the possible repeats shuffle, as slim rows, on their full SHA-256, which decides.
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty; texts of
 any length are whole. The largest doc_id of a group stays (null is the smallest); of repeated
@@ -29,8 +30,8 @@ from .common import KeyFilter, cut, mix, partitions, plain, tidy, whole_row, wri
 
 #: Bits of the first filter for each row, and rows for one of its parts.
 BITS, PART = 64, 1_000_000
-#: The second filter: bits and probes of each place.
-SECOND_BITS, PROBES = 16, 4
+#: The second filter: bits and probes of each place; its bytes at most.
+SECOND_BITS, PROBES, MOST_BYTES = 16, 4, 256 << 20
 #: The second filter is broadcast in pieces of at most so many bytes; a task holds one piece at a time.
 FILTER_BYTES = 32 << 20
 #: Digests whose places a task sends, or probes, at a time.
@@ -92,25 +93,32 @@ def decoded(stored: bytes) -> np.ndarray:
     return np.cumsum(steps)
 
 
-def _probes(places: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bits of the second filter for each place of the first."""
+def _probes(places: np.ndarray, bits: int, probes: int) -> np.ndarray:
+    """So many bits of the second filter for each place of the first."""
     h = mix(places.astype(np.uint64))
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(PROBES)], 1).astype(np.int64)
+    return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(probes)], 1).astype(np.int64)
 
 
-def _filter(places: np.ndarray) -> bytes:
-    bits = np.zeros(max(64, -(-len(places) * SECOND_BITS // 8) * 8), np.uint8)
-    bits[_probes(places, len(bits)).ravel()] = 1
+def _filter(places: np.ndarray, each: float, probes: int) -> bytes:
+    """A filter of some places with so many bits for each, and 64 bits at least."""
+    bits = np.zeros(max(64, -(-int(len(places) * each) // 8) * 8), np.uint8)
+    bits[_probes(places, len(bits), probes).ravel()] = 1
     return np.packbits(bits).tobytes()
 
 
-def _inside(places: np.ndarray, stored: bytes) -> np.ndarray:
+def _inside(places: np.ndarray, stored: bytes, probes: int) -> np.ndarray:
     raw = np.frombuffer(stored, np.uint8)
-    at = _probes(places, 8 * len(raw))
+    at = _probes(places, 8 * len(raw), probes)
     return ((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
 
+def sized(places: int, most_bytes: int) -> tuple[float, int]:
+    """(bits for each place, probes) of a second filter of so many places."""
+    each = min(float(SECOND_BITS), 8.0 * most_bytes / max(1, places))
+    return each, max(1, min(PROBES, round(0.7 * each)))
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """A task's batches as tables of about ROWS rows."""
     held, n = [], 0
@@ -124,7 +132,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def flagged(slim: DataFrame) -> DataFrame:
+def flagged(slim: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Slim rows with ``maybe``: false where the digest certainly occurs once. Written, so both kinds are read from one table."""
     spark, n = slim.sparkSession, slim.count()
     parts = max(partitions(spark), -(-n // PART))
@@ -148,13 +156,23 @@ def flagged(slim: DataFrame) -> DataFrame:
 
     def own(table: pa.Table) -> pa.Table:
         at = np.sort(np.concatenate([decoded(x) for x in table.column("places").to_pylist()]))
-        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([_filter(np.unique(at[1:][at[1:] == at[:-1]]))], pa.binary())})
+        twice = np.unique(at[1:][at[1:] == at[:-1]])
+        return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([len(twice)], pa.int64()), "places": pa.array([coded(twice)], pa.binary())})
+
+    second = written(slim.select("digest").mapInArrow(send, "part long, places binary").groupBy("part").applyInArrow(own, "part long, n long, places binary"), "repeats")
+    each, probes = sized(second.agg(F.sum("n")).head()[0] or 0, most_bytes)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_filter(decoded(x), each, probes) for x in batch.column("places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(made, pa.binary())], ["part", "bits"])
+        tidy()
 
-    second = written(slim.select("digest").mapInArrow(send, "part long, places binary").groupBy("part").applyInArrow(own, "part long, bits binary"), "repeats")
-    size = second.agg(F.sum(F.length("bits"))).head()[0] or 0
+    built = written(second.where("n > 0").mapInArrow(build, "part long, bits binary"), "filter")
+    size = built.agg(F.sum(F.length("bits"))).head()[0] or 0
     pieces = max(1, -(-size // FILTER_BYTES))
-    # At most FILTER_BYTES (and a part) reach the driver at once; executors keep the pieces on disk.
-    held = [spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in second.where(F.col("part") % pieces == k).collect()}) for k in range(pieces)]
+    # At most FILTER_BYTES (and a part) reach the driver at once, and most_bytes in all; executors keep the pieces on disk.
+    held = [spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in built.where(F.col("part") % pieces == k).collect()}) for k in range(pieces)]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
@@ -165,8 +183,9 @@ def flagged(slim: DataFrame) -> DataFrame:
                 filters = held[k].value
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     rows = order[a:b]
-                    if part[rows[0]] % pieces == k:
-                        maybe[rows] = _inside(at[rows], filters[int(part[rows[0]])])
+                    stored = filters.get(int(part[rows[0]]))  # a part without repeats has none
+                    if stored:
+                        maybe[rows] = _inside(at[rows], stored, probes)
                 if pieces > 1:
                     held[k].__dict__.pop("_value", None)  # read again from disk when it is needed again
             yield from table.append_column("maybe", pa.array(maybe)).to_batches()
