@@ -35,7 +35,7 @@ def quantised(vectors: DataFrame, id_column: str = "vec_id", column: str = "embe
     """(vec_id, q: array<int>) of the vectors with ``size`` components, all of them numbers."""
     own = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[column].cast("array<double>").alias("v"))
     fits = (F.size("v") == size) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = lambda x: F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), F.floor(x * F.lit(float(scale))).cast("double")))
+    whole = lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x * F.lit(float(scale)))))
     kept = own.where(F.col("v").isNotNull() & F.coalesce(fits, F.lit(False)))
     return kept.select("vec_id", F.transform("v", lambda x: whole(x).cast("int")).alias("q"))
 
@@ -79,7 +79,8 @@ def _sums(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
                 total[j] += own.sum(0, dtype=np.int64)
                 count[j] += len(own)
         met = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": met.astype(np.int32), "n": count[met], "total": list(total[met])})
+        if len(met):
+            yield pd.DataFrame({"cluster": met.astype(np.int32), "n": count[met], "total": list(total[met])})
         tidy()
 
     return run
