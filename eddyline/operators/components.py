@@ -89,32 +89,51 @@ def dust_frames(labelled: DataFrame, least: int) -> DataFrame:
     return kept.withColumn("size", total.cast("long"))
 
 
+#: Columns of a bucket: runs of a row meet only those that share one with them.
+BUCKET = 64
+
+
+def bucketed(run_table: DataFrame, width: int, a: str = "x0", b: str = "x1") -> DataFrame:
+    """Runs with ``bucket``, one row for each that they reach into; one bucket for all where a row is that short."""
+    if width <= BUCKET:
+        return run_table.withColumn("bucket", F.lit(0))
+    at = lambda c: F.expr(f"cast({c} div {BUCKET} as int)")
+    return run_table.withColumn("bucket", F.explode(F.sequence(at(a), at(b))))
+
+
+def meeting(both: DataFrame, width: int, a: tuple[str, str] = ("x0", "x1"), b: tuple[str, str] = ("p0", "p1")) -> DataFrame:
+    """Of runs joined by bucket those that overlap, once: in the bucket where what they share begins."""
+    met = both.where(f"{a[0]} <= {b[1]} and {b[0]} <= {a[1]}")
+    return (met if width <= BUCKET else met.where(f"greatest({a[0]}, {b[0]}) div {BUCKET} = bucket")).drop("bucket")
+
+
 def component_sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("t", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("size"))
 
 
-def _volumes(pieces: DataFrame, cells: int, *same: str) -> DataFrame:
+def _volumes(pieces: DataFrame, cells: int, width: int, *same: str) -> DataFrame:
     """Pieces of frames with volume (the least node) and its size; pieces of neighbouring days are joined where they share a cell and the same keys."""
     node = F.col("t").cast("long") * cells + F.col("piece")
     if "window_id" in pieces.columns:  # windows share days
         node, same = node + F.col("window_id").cast("long") * (1 << 44), (*same, "window_id")
     own = pieces.withColumn("node", node)
     later = own.select((F.col("t") - 1).alias("t"), "yi", *same, F.col("x0").alias("__x0"), F.col("x1").alias("__x1"), F.col("node").alias("b"))
-    edges = own.join(later, ["t", "yi", *same]).where("x0 <= __x1 and __x0 <= x1").select(F.col("node").alias("a"), "b").distinct()
+    both = bucketed(own.select("t", "yi", *same, "x0", "x1", "node"), width).join(bucketed(later, width, "__x0", "__x1"), ["t", "yi", "bucket", *same])
+    edges = meeting(both, width, b=("__x0", "__x1")).select(F.col("node").alias("a"), "b").distinct()
     roots = connected_components(edges)
     sizes = own.groupBy("node").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).join(roots, "node", "left").withColumn("volume", F.coalesce("root", "node"))
     totals = sizes.groupBy("volume").agg(F.sum("n").cast("long").alias("volume_size"))
     return own.join(sizes.join(totals, "volume").select("node", "volume", "volume_size"), "node").drop("node")
 
 
-def dust_volume(tracked: DataFrame, least: int, cells: int) -> DataFrame:
+def dust_volume(tracked: DataFrame, least: int, cells: int, width: int) -> DataFrame:
     """Drop the face-connected parts, in space and time, of a label that have fewer cells. tracked: runs with piece and label."""
-    return _volumes(tracked, cells, "label").where(F.col("volume_size") >= least).drop("volume", "volume_size")
+    return _volumes(tracked, cells, width, "label").where(F.col("volume_size") >= least).drop("volume", "volume_size")
 
 
 def components_3d(mask: DataFrame, width: int, cells: int, least: int = 1) -> DataFrame:
     """Runs with volume (face-connected in space and time, no tracking) and its size, from ``least`` cells on."""
-    return _volumes(label_frames(mask, width, 4, 4), cells).where(F.col("volume_size") >= least).select("t", "yi", "x0", "x1", "volume", "volume_size")
+    return _volumes(label_frames(mask, width, 4, 4), cells, width).where(F.col("volume_size") >= least).select("t", "yi", "x0", "x1", "volume", "volume_size")
 
 
 def _holes(height: int, width: int, most: int):

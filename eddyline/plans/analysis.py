@@ -33,7 +33,7 @@ def labelled_frames(mask: DataFrame, s: Settings) -> DataFrame:
 def tracked_runs(labelled: DataFrame, s: Settings, days: DataFrame | None = None) -> DataFrame:
     """Tracked runs, in one window or in those of ``days``, without volumes that are too small."""
     own = written(tracking.track(labelled, s.width, s.cells, s.iou, days), "tracked")
-    return components.dust_volume(own, s.volume_cells, s.cells)
+    return components.dust_volume(own, s.volume_cells, s.cells, s.width)
 
 
 def counted(runs: DataFrame) -> DataFrame:

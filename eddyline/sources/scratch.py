@@ -43,6 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table is stored under a path, whole: its writer came to an end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 @contextlib.contextmanager
 def only_last(spark: SparkSession) -> Iterator[None]:
     """Of the tables written inside only the last one stays; where the block fails, none."""
