@@ -105,6 +105,20 @@ TABLES |= {
     "bat": "select y, x, (py - y0) / 400000.0 fy, (px - x0) / 400000.0 fx, h, n from pxy, bounds, gsize",
     "bw": f"select y, x, least(floor(fy), h - 2) + dy i, least(floor(fx), n - 2) + dx j, (case when dy = 1 then fy - least(floor(fy), h - 2) else 1 - (fy - least(floor(fy), h - 2)) end) * (case when dx = 1 then fx - least(floor(fx), n - 2) else 1 - (fx - least(floor(fx), n - 2)) end) w from (select y, x, round(fy, 9) fy, round(fx, 9) fx, h, n from bat), {_CORNERS} where fy between 0 and h - 1 and fx between 0 and n - 1",
 }
+#: Triangles between neighbouring rows of projected points: a segment's third corner follows from the order of middles. Then each target's triangle, and its plane.
+TABLES |= {
+    "seg": "select a.y r, a.x n, a.px p, b.px q, (a.px + b.px) / 2 m from pxy a join pxy b on b.y = a.y and b.x = a.x + 1",
+    "tri": """select s.r, true low, s.n, s.p, s.q, (select count(*) from seg u where u.r = s.r + 1 and u.m < s.m) apex from seg s where s.r < 23
+        union all select s.r - 1, false, s.n, s.p, s.q, (select count(*) from seg u where u.r = s.r - 1 and u.m <= s.m) from seg s where s.r > 0""",
+    "trow": "select i, j, gx, gy, least(22, max(y)) r from gcell join pxy on py <= gy group by 1, 2, 3, 4",
+    "tgt": "select i, j, gx, r, (gy - l.py) / (h.py - l.py) s from trow join pxy l on l.y = r and l.x = 0 join pxy h on h.y = r + 1 and h.x = 0",
+    "tplace": """select i, j, r, s, low, n, apex, (case when low then (gx - s * a.px) / nullif(1 - s, 0) else (gx - (1 - s) * a.px) / nullif(s, 0) end - p) / (q - p) w
+        from tgt join tri using (r) join pxy a on a.x = apex and a.y = case when low then r + 1 else r end""",
+    "tone": "select * from tplace where w between 0 and 1 qualify row_number() over (partition by i, j order by low, n) = 1",
+    "tcorner": """select i, j, case when low then r else r + 1 end y, n x, (1 - w) * (case when low then 1 - s else s end) w from tone
+        union all select i, j, case when low then r else r + 1 end, n + 1, w * (case when low then 1 - s else s end) from tone
+        union all select i, j, case when low then r + 1 else r end, apex, case when low then s else 1 - s end from tone""",
+}
 ORDER = ["wspan", "pairs", "mroot", "mp", "stitched", *(f"st_{n}" for n in _STEPS)]
 ONE, THREE = "select 0 w, 0 w0, 29 w1", "values (0, 0, 12), (1, 9, 21), (2, 18, 29)"
 GATE = "x.inter * 5 > g.psz + x.sz - x.inter"
@@ -183,6 +197,7 @@ SQL = {
         where has and d between 5 and 20 and y * 2.5 - 20 between -11 and 20 and x * 3.0 - 30 between -20 and 31 and (y - my) % 2 = 0 and (x - mx) % 2 = 0"""),
     "preprocess_province": sql("select d + 19723 as t, y as yi, x as xi from ras join (POLYGON) p on p.yi = y and p.xi = x where has and v >= 60000"),
     "project_raster": sql("select d + 19723 as t, cast(i as int) as yi, cast(j as int) as xi, round(v, 0) as value from gval"),
+    "project_triangles": sql("select d + 19723 as t, cast(i as int) as yi, cast(j as int) as xi, round(sum(w * v), 0) as value from tcorner join ras using (y, x) group by 1, 2, 3"),
     "project_back": sql("select d + 19723 as t, y as yi, x as xi, round(case when sum(w) > 1 - 1e-9 then sum(w * v) end, 0) as value from bw join gval using (i, j) where w > 0 group by 1, 2, 3"),
     "labels_back": sql("select d + 19723 as t, y as yi, x as xi, cast(i * 1000 + j as bigint) as label from (select y, x, round_even(fy, 0) i, round_even(fx, 0) j from bat) join gval using (i, j) where v >= 60000"),
     "saved_windows": sql("select w as window_id, d + 19723 as t, count(*) as n from cells group by 1, 2", True),

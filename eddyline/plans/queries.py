@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import Axis, Settings
 from eddyline.functions import scalars
-from eddyline.operators import components, events, grid, overlay, tracking, windows
+from eddyline.operators import components, events, frames, grid, overlay, tracking, windows
 from eddyline.plans import analysis
 from eddyline.sources import netcdf, raster, store, vector
 from eddyline.sources.scratch import scratch_path, written
@@ -274,9 +274,8 @@ def sinusoidal_xy(spark, sf_dir):
 
 
 def reproject_bilinear(spark, sf_dir):
-    fine = raster.spine(spark, 0, 0, 2 * SIDE, 2 * SIDE).select("yi", "xi", (F.col("yi") * 0.5).alias("lat"), (F.col("xi") * 0.5).alias("lon"))
-    weights = grid.bilinear_weights(fine, 0, 1, 0, 1, SIDE, SIDE)
-    df = grid.resampled(raster_dense(spark, sf_dir).select("t", "yi", "xi", F.col("value").cast("double").alias("value")), weights)
+    unit, half = Axis(0, 1, SIDE), Axis(0, 0.5, 2 * SIDE)
+    df = frames.resampled(raster_dense(spark, sf_dir), frames.Bilinear(unit, unit, half, half))
     return df.select("t", "yi", "xi", F.round("value", 3).alias("value"))
 
 
@@ -336,31 +335,27 @@ def preprocess_province(spark, sf_dir):
     return raster.preprocessed(smooth(spark, sf_dir).withColumn("category", F.lit(1)), 60_000.0, _province(spark))
 
 
-def _projected(spark, sf_dir):
-    df = raster_dense(spark, sf_dir).select("t", "yi", "xi", F.col("value").cast("double").alias("value"))
-    return grid.project(df, _places(spark), LAT[0], LAT[1], LON[0], LON[1], SIDE, SIDE, CELL)
+def _projected(spark, sf_dir, triangles: bool = False):
+    return frames.projected(raster_dense(spark, sf_dir), *AXES, CELL, triangles=triangles)
 
 
 def project_raster(spark, sf_dir):
     return _projected(spark, sf_dir)[0].select("t", "yi", "xi", F.round("value", 0).alias("value"))
 
 
-def _start(ys: DataFrame, xs: DataFrame) -> tuple[float, float, int, int]:
-    (y0, height), (x0, width) = (df.agg(F.min(c), F.count(F.lit(1))).head() for df, c in ((ys, "y"), (xs, "x")))
-    return y0, x0, height, width
+def project_triangles(spark, sf_dir):
+    return _projected(spark, sf_dir, True)[0].select("t", "yi", "xi", F.round("value", 0).alias("value"))
 
 
 def project_back(spark, sf_dir):
     df, ys, xs = _projected(spark, sf_dir)
-    y0, x0, height, width = _start(ys, xs)
-    return grid.project_back(df, _places(spark), y0, x0, CELL, height, width).select("t", "yi", "xi", F.round("value", 0).alias("value"))
+    return frames.back(df, ys, xs, *AXES).select("t", "yi", "xi", F.round("value", 0).alias("value"))
 
 
 def labels_back(spark, sf_dir):
     df, ys, xs = _projected(spark, sf_dir)
-    y0, x0, height, width = _start(ys, xs)
     labels = df.where("value >= 60000").select("t", "yi", "xi", (F.col("yi") * 1000 + F.col("xi")).cast("long").alias("label"))
-    return grid.labels_back(labels, _places(spark), y0, x0, CELL, height, width)
+    return grid.labels_back(labels, _places(spark), ys.start, xs.start, CELL, ys.size, xs.size)
 
 
 def saved_windows(spark, sf_dir):
@@ -450,7 +445,7 @@ QUERIES = {
         overlap_pairs, overlap_iou, pair_diagnostics, cantor_roundtrip, track_labels, track_labels_legacy, dust_volume, components_3d, renumber_labels, window_assign,
         window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
         fill_small_holes, period_overlay, mask_join, event_values, polygon_mask, centroids, value_range, frame_norm, file_name_parts, month_batches, sinusoidal_xy,
-        reproject_bilinear, labels_nearest, stream_tracks, vector_mask, label_places, box_text, input_path, preprocess_province, project_raster, project_back, labels_back, saved_windows, named_tables,
+        reproject_bilinear, labels_nearest, stream_tracks, vector_mask, label_places, box_text, input_path, preprocess_province, project_raster, project_triangles, project_back, labels_back, saved_windows, named_tables,
         saved_events, netcdf_scan, netcdf_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
     )
 }
