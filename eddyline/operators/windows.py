@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.config import window_starts
+from eddyline.sources.scratch import written
 
+from . import forest
 from .graph import connected_components
 from .tracking import SPACE
 
@@ -26,7 +28,12 @@ def emitted(windowed: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def label_pairs(cells: DataFrame, windows: DataFrame) -> DataFrame:
-    """Distinct (a, b) of a window's labels and the next one's on the days that both cover; a label that meets none is paired with itself.
+    """Distinct (a, b) over all ``pairs_by_window``."""
+    return pairs_by_window(cells, windows).select("a", "b").distinct()
+
+
+def pairs_by_window(cells: DataFrame, windows: DataFrame) -> DataFrame:
+    """Distinct (window_id, a, b) of a window's labels and the next one's on the days that both cover; a label that meets none is paired with itself.
 
     cells: window_id, t, yi, xi, label; windows: window_id, first and last day. A window covers its days whether labels lie on them or not.
     """
@@ -36,7 +43,7 @@ def label_pairs(cells: DataFrame, windows: DataFrame) -> DataFrame:
     one = cells.join(F.broadcast(after), "window_id").where("t >= from_t").select("window_id", "t", "yi", "xi", F.col("label").alias("a"))
     two = cells.join(F.broadcast(before), "window_id").where("t <= to_t").select((F.col("window_id") - 1).alias("window_id"), "t", "yi", "xi", F.col("label").alias("b"))
     both = one.join(two, ["window_id", "t", "yi", "xi"], "full")
-    return both.select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).distinct()
+    return both.select("window_id", F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).distinct()
 
 
 def label_map(pairs: DataFrame, persisted: DataFrame | None = None) -> DataFrame:
@@ -65,6 +72,22 @@ def stitched(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     return relabelled(cells, mapping).groupBy("t", "yi", "xi").agg(F.min("label").alias("label"))
 
 
+def as_written(cells: DataFrame, windows: DataFrame, path: str) -> DataFrame:
+    """(t, yi, xi, label) as windows gave their own days out, one after the other: by the groups that were known when a window was written, so later merges don't show.
+
+    windows: see ``window_days``. A window is written when its overlap with the one before is reconciled. The forest below
+    ``path`` grows by one batch a window; windows whose batch is stored aren't looked at again.
+    """
+    pairs = written(pairs_by_window(cells, windows), "pairs")
+    ids = [r[0] for r in windows.select("window_id").distinct().orderBy("window_id").collect()]  # one row a window
+    for k in ids[1:]:
+        forest.add(pairs.where(F.col("window_id") == k - 1), path, k)
+    days = F.broadcast(windows.where("t <= emit_last").select("t", F.col("window_id").alias("writer")))  # one row a day
+    shown = written(cells.join(days, "t").where("window_id <= writer").select("t", "yi", "xi", "label", "writer"), "shown")
+    told = forest.representatives(shown, forest.rows(cells.sparkSession, path), "label", "writer")
+    return told.groupBy("t", "yi", "xi").agg(F.min("root").alias("label"))
+
+
 def last_label(df: DataFrame, label: str = "label") -> int:
     """The counter that goes on after these labels: their largest; 1 for none."""
     found = df.agg(F.max(label)).head()[0]

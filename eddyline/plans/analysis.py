@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eddyline.config import Axis, Settings
 from eddyline.operators import components, events, tracking, windows
 from eddyline.sources import netcdf, store
-from eddyline.sources.scratch import written
+from eddyline.sources.scratch import scratch_path, written
 
 
 @dataclass
@@ -59,10 +59,12 @@ def windowed_cells(mask: DataFrame, s: Settings, first_day: int, last_day: int)
     return components.cells_of(tracked_runs(labelled_frames(mask, s), s, days)).select("window_id", "t", "yi", "xi", "label")
 
 
-def windowed_labels(mask: DataFrame, s: Settings, first_day: int, last_day: int) -> DataFrame:
-    """(t, yi, xi, label) after the windows' labels are reconciled."""
+def windowed_labels(mask: DataFrame, s: Settings, first_day: int, last_day: int, retroactive: bool = True) -> DataFrame:
+    """(t, yi, xi, label) after the windows' labels are reconciled; with ``retroactive=False`` each window's days by what was known when it was written."""
     cells = written(windowed_cells(mask, s, first_day, last_day), "windows")
     days = windows.window_days(mask.sparkSession, first_day, last_day, s.window_days, s.step_days)
+    if not retroactive:
+        return windows.as_written(cells, days, scratch_path(mask.sparkSession, "forest"))
     return windows.stitched(cells, windows.label_map(windows.label_pairs(cells, days)))
 
 

@@ -58,11 +58,15 @@ TABLES = {
     "vol3": "select d, p, min(v) v from v3 group by 1, 2",
     "lsize": "select d, label, count(*) sz from cells group by 1, 2",
     "lself": "select a.d, a.label, count(*) i from cells a join cells b on b.d = a.d + 1 and a.y = b.y and a.x = b.x and a.label = b.label group by 1, 2",
-    "pairs": """select distinct coalesce(a.label, b.label) a, coalesce(b.label, a.label) b
+    "pairs": "select distinct a, b from pairsw",
+    "pairsw": """select distinct w, coalesce(a.label, b.label) a, coalesce(b.label, a.label) b
         from (select c.* from cells c join wspan n on n.w = c.w + 1 where c.d >= n.lo) a
         full join (select c.w - 1 w, c.d, c.y, c.x, c.label from cells c join wspan n on n.w = c.w - 1 where c.d <= n.hi) b using (w, d, y, x)""",
     "wspan": "select w, w0 lo, w1 hi from wins",
     "mroot": "select a n, a m from pairs union select b, b from pairs union select case when p.a = l.n then p.b else p.a end, l.m from mroot l join pairs p on p.a = l.n or p.b = l.n",
+    "vroot": "select v.w v, a n, a m from pairsw p join wins v on p.w < v.w union select v.w, b, b from pairsw p join wins v on p.w < v.w union select l.v, case when p.a = l.n then p.b else p.a end, l.m from vroot l join pairsw p on p.w < l.v and (p.a = l.n or p.b = l.n)",
+    "vmap": "select v, n child, min(m) mother from vroot group by 1, 2",
+    "writer": "select s.d, max(w) k from (select distinct d from spine) s join wins on w0 <= s.d group by 1",
     "mp": "select n child, min(m) mother from mroot group by 1",
     "stitched": "select d, y, x, min(coalesce(mother, label)) label from cells left join mp on child = label group by 1, 2, 3",
 }
@@ -119,7 +123,7 @@ TABLES |= {
         union all select i, j, case when low then r else r + 1 end, n + 1, w * (case when low then 1 - s else s end) from tone
         union all select i, j, case when low then r + 1 else r end, apex, case when low then s else 1 - s end from tone""",
 }
-ORDER = ["wspan", "pairs", "mroot", "mp", "stitched", *(f"st_{n}" for n in _STEPS)]
+ORDER = ["wspan", "pairsw", "pairs", "mroot", "vroot", "vmap", "writer", "mp", "stitched", *(f"st_{n}" for n in _STEPS)]
 ONE, THREE = "select 0 w, 0 w0, 29 w1", "values (0, 0, 12), (1, 9, 21), (2, 18, 29)"
 GATE = "x.inter * 5 > g.psz + x.sz - x.inter"
 
@@ -181,6 +185,8 @@ SQL = {
     "label_map": sql("select child, mother from mp", True),
     "full_label_map": sql("select distinct label as child, coalesce(mother, label) as mother from cells left join mp on child = label", True),
     "relabel_overlap": sql(f"select {_T}, {_YX}, min(coalesce(mother, label)) as label from cells left join mp on child = label group by 1, 2, 3", True),
+    "labels_as_written": sql(f"select {_T}, {_YX}, min(coalesce(mother, label)) as label from cells join writer using (d) left join vmap on child = label and v = k where w <= k group by 1, 2, 3", True),
+    "incremental_map": sql("select distinct label as child, coalesce(mother, label) as mother from cells left join mp on child = label", True),
     "lifetimes": sql("select label, seq, f + 19723 as first, e + 19723 as \"end\" from life"),
     "lifetime_intervals": sql("select label, seq, f + 19723 as first_day, st + 19723 as start, e + 19723 as \"end\" from life"),
     "event_cells": sql(f"select id, n as serial, {_T}, {_YX} from ecells"),

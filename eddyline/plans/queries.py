@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import Axis, Settings
 from eddyline.functions import scalars
-from eddyline.operators import components, events, frames, grid, overlay, tracking, windows
+from eddyline.operators import components, events, forest, frames, grid, overlay, tracking, windows
 from eddyline.plans import analysis
 from eddyline.sources import netcdf, raster, store, vector
 from eddyline.sources.scratch import scratch_path, written
@@ -175,6 +175,20 @@ def relabel_overlap(spark, sf_dir):
     return windows.stitched(cells, windows.label_map(windows.label_pairs(cells, window_assign(spark, sf_dir))))
 
 
+def labels_as_written(spark, sf_dir):
+    """Windows by the label groups known when each was written."""
+    return analysis.windowed_labels(mask(spark, sf_dir), SETTINGS, FIRST, LAST, retroactive=False)
+
+
+def incremental_map(spark, sf_dir):
+    """The map of all labels after the windows' pairs came in one batch a window."""
+    cells, path = _windowed(spark, sf_dir), scratch_path(spark, "forest")
+    pairs = written(windows.pairs_by_window(cells, window_assign(spark, sf_dir)), "pairs")
+    for k in (0, 1):
+        forest.add(pairs.where(F.col("window_id") == k), path, k)
+    return forest.mapping(cells, path)
+
+
 def lifetimes(spark, sf_dir):
     return events.lifetimes(_analysis(spark, sf_dir).tracked.select("label", "t").distinct(), LAST).select("label", "seq", "first", "end")
 
@@ -443,7 +457,7 @@ QUERIES = {
     for f in (
         events_table, raster_dense, slice_bbox_time, stride_sample, coarsen_block, upsample_repeat, quantize_mask, frame_components, component_sizes, dust_frame,
         overlap_pairs, overlap_iou, pair_diagnostics, cantor_roundtrip, track_labels, track_labels_legacy, dust_volume, components_3d, renumber_labels, window_assign,
-        window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
+        window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, labels_as_written, incremental_map, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
         fill_small_holes, period_overlay, mask_join, event_values, polygon_mask, centroids, value_range, frame_norm, file_name_parts, month_batches, sinusoidal_xy,
         reproject_bilinear, labels_nearest, stream_tracks, vector_mask, label_places, box_text, input_path, preprocess_province, project_raster, project_triangles, project_back, labels_back, saved_windows, named_tables,
         saved_events, netcdf_scan, netcdf_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
