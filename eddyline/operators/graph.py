@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from eddyline.sources.scratch import written
 
 SMALL = 300_000
+#: Rounds of all searches so far, for whoever measures a run.
+COUNTS = {"rounds": 0}
 
 
 def _contract(batches: Iterator[pa.RecordBatch], most: int | None = None, roots: bool = False) -> Iterator[pa.RecordBatch]:
@@ -63,6 +65,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
         if found.limit(small + 1).count() <= small:
             settled = found.coalesce(1).mapInArrow(partial(_contract, roots=True), "u long, v long")
             return settled.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        COUNTS["rounds"] += 1
         # Large star: each neighbour above u goes to the smallest of u and its neighbours.
         both = found.unionAll(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

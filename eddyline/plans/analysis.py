@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import Axis, Settings
 from eddyline.operators import components, events, tracking, windows
+from eddyline.plans.timing import Steps
 from eddyline.sources import netcdf, store
 from eddyline.sources.scratch import scratch_path, written
 
@@ -46,11 +47,16 @@ def events_of(tracked: DataFrame, s: Settings, last_day: int) -> tuple[DataFrame
     return spans, events.events(counted(tracked), spans, s.min_days, s.event_cells, s.cell_area)
 
 
-def analyse(mask: DataFrame, s: Settings, last_day: int) -> Analysis:
-    """Everything in one window."""
-    labelled = labelled_frames(mask, s)
-    tracked = written(tracked_runs(labelled, s), "volumes")
-    return Analysis(labelled, tracked, *events_of(tracked, s, last_day))
+def analyse(mask: DataFrame, s: Settings, last_day: int, steps: Steps | None = None) -> Analysis:
+    """Everything in one window; ``steps`` gets what labelling and tracking cost."""
+    steps = steps or Steps()
+    with steps("label"):
+        labelled = labelled_frames(mask, s)
+    with steps("track"):
+        tracked = written(tracked_runs(labelled, s), "volumes")
+    with steps("events"):
+        spans, found = events_of(tracked, s, last_day)
+    return Analysis(labelled, tracked, spans, found)
 
 
 def windowed_cells(mask: DataFrame, s: Settings, first_day: int, last_day: int) -> DataFrame:
