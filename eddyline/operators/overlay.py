@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eddyline.config import Axis
 from eddyline.sources.raster import dense
 
 
@@ -52,18 +53,29 @@ def touched_cells(rings: DataFrame, x0: float, dx: float, y0: float, dy: float,
     return cells.where(F.col("yi").between(0, height - 1) & F.col("xi").between(0, width - 1)).distinct()
 
 
-def polygon_cells(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """(region, yi, xi) of points (yi, xi, x, y) inside rings (region, ring: array<struct<x, y>>), by the even-odd rule.
+def _numbers(low, high, a: Axis):
+    """The numbers of an axis' cells whose coordinates may lie between two columns, and a cell more on either side: what holds exactly is asked afterwards."""
+    at = lambda c, beyond: F.least(F.lit(a.size - 1), F.greatest(F.lit(0), F.floor((c - a.start) / a.step) + beyond)).cast("int")
+    return F.sequence(at(low, -1), at(high, 1))
 
-    An edge meets the rows of points whose y it spans: edges are joined to the grid's row axis, then to
-    its points by row number, so no point is held against an edge of another row.
+
+def polygon_cells(rings: DataFrame, lat: Axis, lon: Axis) -> DataFrame:
+    """(region, yi, xi) of the cells of a grid whose centres lie inside rings (region, ring: array<struct<x, y>>), by the even-odd rule.
+
+    Row by row: an edge is cut by the rows that it spans; a row's cuts, sorted, begin and end the stretches inside, which are given out whole.
+    No point is held against an edge, and nothing is joined: work is in proportion to the cuts and the cells inside.
     """
-    edges = _edges(rings).where("y1 <> y2")
-    rows = points.select("yi", "y").distinct()
-    crossing = edges.join(rows, (F.col("y") >= F.least("y1", "y2")) & (F.col("y") < F.greatest("y1", "y2")))
-    crossing = crossing.select("region", "yi", (F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("cut"))
-    inside = points.select("yi", "xi", "x").join(crossing, "yi").where("cut > x")
-    return inside.groupBy("region", "yi", "xi").count().where("count % 2 = 1").select("region", "yi", "xi")
+    if not lat.size or not lon.size:
+        return rings.select("region", F.lit(0).alias("yi"), F.lit(0).alias("xi")).where("false")
+    edges = _edges(rings).where("y1 <> y2").withColumns({"low": F.least("y1", "y2"), "high": F.greatest("y1", "y2")})
+    rows = edges.withColumn("yi", F.explode(_numbers(F.col("low"), F.col("high"), lat))).withColumn("y", F.lit(float(lat.start)) + F.col("yi") * F.lit(float(lat.step)))
+    crossing = rows.where("y >= low and y < high").select("region", "yi", (F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("cut"))
+    # A row's cuts are as many as a region has edges there.
+    cuts = crossing.groupBy("region", "yi").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(cuts) div 2") - 1), lambda i: F.struct(F.get("cuts", 2 * i).alias("a"), F.get("cuts", 2 * i + 1).alias("b")))
+    spans = cuts.select("region", "yi", F.explode(pairs).alias("s")).select("region", "yi", "s.a", "s.b")
+    cells = spans.withColumn("xi", F.explode(_numbers(F.col("a"), F.col("b"), lon))).withColumn("x", F.lit(float(lon.start)) + F.col("xi") * F.lit(float(lon.step)))
+    return cells.where("x >= a and x < b").select("region", "yi", "xi")
 
 
 def aligned(cells: DataFrame, raster: DataFrame) -> DataFrame:

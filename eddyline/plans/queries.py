@@ -23,7 +23,7 @@ LAST = FIRST + DAYS - 1
 SETTINGS = Settings(height=SIDE, width=SIDE, min_days=3, min_area_frame=500, min_area_time=2_000, window_days=12, step_days=9)
 #: Where the raster lies: the first row's and column's degrees, and those from one to the next; metres of a projected cell.
 LAT, LON, CELL = (-20.0, 2.5), (-30.0, 3.0), 400_000.0
-AXES = Axis(*LAT, SIDE), Axis(*LON, SIDE)
+AXES, CELLS = (Axis(*LAT, SIDE), Axis(*LON, SIDE)), Axis(0, 1, SIDE)
 #: File names to be read, and a polygon.
 NAMES = ("EV_000012_JAN_2018", "out/EV_2019_x-y_z.nc", "mhw_2018.nc", "mhw 1999.nc", "none", "a_77_b_2020_c_d")
 RING = ((2.2, 1.3), (20.6, 4.1), (17.4, 21.7), (9.5, 12.4), (3.1, 19.8))
@@ -246,9 +246,8 @@ def event_values(spark, sf_dir):
 
 
 def polygon_mask(spark, sf_dir):
-    points = raster.spine(spark, 0, 0, SIDE, SIDE).select("yi", "xi", F.col("xi").cast("double").alias("x"), F.col("yi").cast("double").alias("y"))
     rings = spark.createDataFrame([("A", [{"x": x, "y": y} for x, y in RING])], "region string, ring array<struct<x:double,y:double>>")
-    return overlay.polygon_cells(points, rings)
+    return overlay.polygon_cells(rings, CELLS, CELLS)
 
 
 def centroids(spark, sf_dir):
@@ -308,8 +307,7 @@ def vector_mask(spark, sf_dir):
     ]}
     spark.createDataFrame([(json.dumps(shape),)], "value string").coalesce(1).write.text(path)
     rings = vector.rings(spark, path, "code")
-    points = raster.spine(spark, 0, 0, SIDE, SIDE).select("yi", "xi", F.col("xi").cast("double").alias("x"), F.col("yi").cast("double").alias("y"))
-    inside, touched = overlay.polygon_cells(points, rings), overlay.touched_cells(rings, 0, 1, 0, 1, SIDE, SIDE)
+    inside, touched = overlay.polygon_cells(rings, CELLS, CELLS), overlay.touched_cells(rings, 0, 1, 0, 1, SIDE, SIDE)
     return inside.withColumn("inside", F.lit(1)).join(touched.withColumn("touched", F.lit(1)), ["region", "yi", "xi"], "full").fillna(0, ["inside", "touched"])
 
 
