@@ -22,7 +22,8 @@ blocks is compared set against set, and only sums by class leave a task.
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Fewer words than a shingle
 make one shingle of the whole; no words (or null) make the empty set, which links with
 nothing. Repeated rows are copies of a class. Shingles and sets are told apart by
-64-bit hashes. Other columns don't matter; an empty table gives an empty result.
+64-bit hashes. Texts of any length are whole; a pair that meets the share exactly links. Other
+columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

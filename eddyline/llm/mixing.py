@@ -12,8 +12,9 @@ left are taken anew, from that slot on; no document is dropped.
 Sources without a weight of their own, null among them, share the weight of the
 rest. The driver sees one count for each weight, and no more.
 
-Defined cases: a null doc_id ranks by its text, equal rows in any order; an empty
-table gives an empty schedule; other columns don't matter.
+Defined cases: a null doc_id ranks by its text; rows of one key rank by doc_id, equal rows in any order, as
+they can't be told apart; equal deadlines go by the sources' names; a text of any length ranks by a hash of all of it, a null
+one by its doc_id alone; an empty table gives an empty schedule; other columns don't matter.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ position is worked out from its source, doc_id and text, so no order of rows or
 matters. A sequence's id rises with the position of its first piece. Groups then stay as small
 as they are, so that pieces stay near their place; only what is exchanged travels.
 
-Defined cases: null or empty text is one piece of one id; repeated rows are packed
-each for itself; an empty table gives an empty result; other columns don't matter.
+Defined cases: null or empty text is one piece of one id; a text of any length is cut, never shortened; pieces
+of equal length go by their row's number; repeated
+rows are packed each for itself; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations

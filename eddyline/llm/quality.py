@@ -12,7 +12,7 @@ read those. What is rejected is then told by document, so only texts that go, an
 
 Defined cases: a document without words (or with null text) gets score 0 and is rejected; repeated
 rows get equal results; with no documents, or votes of one class only, the prior
-decides; texts of any length are whole; columns other than doc_id and text don't matter,
+decides; a score equal to ``keep`` is kept; texts of any length are whole; columns other than doc_id and text don't matter,
 whatever they are called.
 """
 
