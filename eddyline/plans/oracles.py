@@ -213,6 +213,8 @@ SQL = {
     "netcdf_events": sql("select id || '.nc' as file, d + 19723 as t, y as yi, x as xi, y * 2::double - 20 as lat, -30 + x * 2.4::double as lon from ffull join (select id, n from ev) on n = label"),
     "newest_year": sql(f"select 2000 + d // 7 as year, {_T}, {_YX}, v as value from ras where has and d // 7 = (select max(d // 7) from ras where has)"),
     "appended_days": sql("select d + 19723 as t, cast(sum(v) as bigint) as total from ras group by 1"),
+    "joined_stretches": sql("select y as yi, x as xi, count(*) as n, cast(sum(v) as bigint) as total from ras group by 1, 2"),
+    "shared_spans": sql("select a.id, b.id as next_id, greatest(a.st, b.st) + 19723 as first, least(a.e, b.e) + 19723 as last from ev a join ev b on b.n = a.n + 1 where greatest(a.st, b.st) < least(a.e, b.e)"),
     "extended_batches": sql(f"select {_T}, {_YX}, label from stitched", True),
     "nearest_rows": sql(f"select {_T}, {_YX}, cast(y * 2.5 - 20 as double) as lat, v as value from ras where has and y = (select y from ras where has order by abs(y * 2.5 - 20 - 7.1), y limit 1)"),
     "stream_tracks": sql(f"select {_T}, c as component, label, sz as size from tr where c >= 0"),

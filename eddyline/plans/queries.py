@@ -420,6 +420,21 @@ def appended_days(spark, sf_dir):
     return spark.read.parquet(path).groupBy("t").agg(F.sum("value").alias("total"))
 
 
+def joined_stretches(spark, sf_dir):
+    """Two stretches of days over the same axes as one raster."""
+    own = written(raster_dense(spark, sf_dir), "dense")
+    both = store.joined(raster.days(own, FIRST, FIRST + 11), raster.days(own, FIRST + 12, LAST))
+    return both.groupBy("yi", "xi").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def shared_spans(spark, sf_dir):
+    """The days that each event shares with the next one by number, where these are more than one."""
+    own = _analysis(spark, sf_dir).found.select("id", "serial", "start_t", "end_t")
+    after = own.select(F.col("id").alias("next_id"), (F.col("serial") - 1).alias("serial"), F.col("start_t").alias("b"), F.col("end_t").alias("e"))
+    both = own.join(after, "serial").select("id", "next_id", scalars.shared_days(F.col("start_t"), F.col("end_t"), F.col("b"), F.col("e")).alias("s"))
+    return both.where("s is not null").select("id", "next_id", "s.first", "s.last")
+
+
 def extended_batches(spark, sf_dir):
     """Two runs, the second of which goes on from what the first has stored."""
     own, path = written(mask(spark, sf_dir), "mask"), scratch_path(spark, "state")
@@ -458,6 +473,6 @@ QUERIES = {
         window_emit, window_tracks, label_pairs, label_map, full_label_map, relabel_overlap, labels_as_written, incremental_map, lifetimes, lifetime_intervals, events_windowed, event_cells, closing_days,
         fill_small_holes, period_overlay, mask_join, event_values, polygon_mask, centroids, value_range, frame_norm, file_name_parts, month_batches, sinusoidal_xy,
         reproject_bilinear, labels_nearest, stream_tracks, vector_mask, label_places, box_text, input_path, preprocess_province, project_raster, project_triangles, project_back, labels_back, saved_windows, named_tables,
-        saved_events, netcdf_scan, netcdf_events, newest_year, appended_days, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
+        saved_events, netcdf_scan, netcdf_events, newest_year, appended_days, joined_stretches, shared_spans, extended_batches, nearest_rows, affine_corners, all_codes, dissolved_regions, last_label,
     )
 }
